@@ -95,7 +95,7 @@ def trips_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     reported = vendor != 6  # the vendor whose metadata is missing
     fare = F.when(k == 90, -value).when(k == 85, F.lit(None)).otherwise(value * 2)
-    tip = F.when(k == 84, F.lit(-1.0)).otherwise(value * (k % 4) / 16)
+    tip = F.when(k == 84, F.lit(-1.0)).otherwise(value * (k % 4) / 7)
     return ev.select(
         vendor.cast("long").alias("VendorID"),
         F.when(k != 97, F.col("t")).alias("lpep_pickup_datetime"),

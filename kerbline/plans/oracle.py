@@ -97,11 +97,11 @@ BLOCKS["trips_raw"] = (("ev",), """
          CASE WHEN k = 92 THEN CAST(111005.95 AS DOUBLE) WHEN k = 91 THEN NULL WHEN k % 10 = 0 THEN 0 ELSE value END AS trip_distance,
          CASE WHEN k = 90 THEN -value WHEN k = 85 THEN NULL ELSE value * 2 END AS fare_amount,
          CAST(0.5 AS DOUBLE) AS extra, CAST(0.5 AS DOUBLE) AS mta_tax,
-         CASE WHEN k = 84 THEN CAST(-1 AS DOUBLE) ELSE value * (k % 4) / 16 END AS tip_amount,
+         CASE WHEN k = 84 THEN CAST(-1 AS DOUBLE) ELSE value * (k % 4) / 7 END AS tip_amount,
          CASE WHEN k = 82 THEN CAST(6.94 AS DOUBLE) ELSE 0 END AS tolls_amount,
          CAST(NULL AS DOUBLE) AS ehail_fee, CAST(1 AS DOUBLE) AS improvement_surcharge,
          CASE WHEN k = 90 THEN -value WHEN k = 85 THEN NULL ELSE value * 2 END
-           + CASE WHEN k = 84 THEN CAST(-1 AS DOUBLE) ELSE value * (k % 4) / 16 END + 2 AS total_amount,
+           + CASE WHEN k = 84 THEN CAST(-1 AS DOUBLE) ELSE value * (k % 4) / 7 END + 2 AS total_amount,
          CASE WHEN event_type <> 'error' THEN k % 7 END AS payment_type,
          CASE WHEN event_type <> 'error' THEN k % 3 END AS trip_type,
          CASE WHEN event_type <> 'error' THEN CAST(2.75 AS DOUBLE) END AS congestion_surcharge,
