@@ -3,6 +3,9 @@
 Money, distance and duration reach the mart as doubles rounded to two decimals. A sum
 of doubles depends on the order in which partitions arrive; a sum of whole hundredths
 in a LONG does not, and stays in generated code. All BI totals and means use it.
+
+Expressions are handed to Spark as SQL text where they are long or many: one parse on
+the JVM instead of a Python round trip per operator.
 """
 
 from __future__ import annotations
@@ -11,22 +14,28 @@ from pyspark.sql import Column, functions as F
 
 
 def as_column(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+    """A Column as it is, text as a SQL expression (a plain name is one)."""
+    return F.expr(value) if isinstance(value, str) else value
 
 
-def hundredths(value: Column | str) -> Column:
-    """Whole hundredths of a two-decimal measure as LONG."""
-    return F.rint(as_column(value) * 100).cast("long")
+def rounded(expression: str, digits: int = 2) -> str:
+    """SQL text: round half up in decimal arithmetic, as DOUBLE."""
+    return f"double(round(cast(({expression}) AS decimal(30,12)), {digits}))"
 
 
 def round_half_up(value: Column | str, digits: int = 2) -> Column:
     """Round half up in decimal arithmetic, returned as DOUBLE."""
-    return F.round(as_column(value).cast("decimal(30,12)"), digits).cast("double")
+    if isinstance(value, str):
+        return F.expr(rounded(value, digits))
+    return F.round(value.cast("decimal(30,12)"), digits).cast("double")
+
 
+def percentage(part: str, whole: str) -> Column:
+    """``100 * part / whole`` with two decimals; NULL when the whole is zero or NULL.
 
-def percentage(part: Column, whole: Column) -> Column:
-    """``100 * part / whole`` with two decimals; NULL when the whole is zero or NULL."""
-    return round_half_up(F.try_divide(part * F.lit(100.0), whole))
+    Both arguments are SQL expressions.
+    """
+    return F.expr(rounded(f"try_divide({part} * 100.0D, {whole})"))
 
 
 # Two-step aggregation: measures are first reduced per join key, then merged after the
@@ -34,19 +43,19 @@ def percentage(part: Column, whole: Column) -> Column:
 
 
 def partials(*measures: str) -> list[Column]:
-    """Per-key sum of hundredths and non-NULL count of each measure."""
+    """Per-key sum of whole hundredths and non-NULL count of each measure."""
     out = []
     for name in measures:
-        out.append(F.sum(hundredths(name)).alias(f"{name}__sum"))
-        out.append(F.count(name).alias(f"{name}__n"))
+        out.append(F.expr(f"sum(bigint(rint({name} * 100))) AS {name}__sum"))
+        out.append(F.expr(f"count({name}) AS {name}__n"))
     return out
 
 
-def total(measure: str) -> Column:
+def total(measure: str, alias: str) -> Column:
     """Merged total of a measure reduced by :func:`partials`."""
-    return round_half_up(F.sum(f"{measure}__sum") / 100)
+    return F.expr(f"{rounded(f'sum({measure}__sum) / 100')} AS {alias}")
 
 
-def mean(measure: str, digits: int = 2) -> Column:
+def mean(measure: str, alias: str) -> Column:
     """Merged mean of a measure reduced by :func:`partials`; NULL over no values."""
-    return round_half_up(F.try_divide(F.sum(f"{measure}__sum"), F.sum(f"{measure}__n") * 100), digits)
+    return F.expr(f"{rounded(f'try_divide(sum({measure}__sum), sum({measure}__n) * 100)')} AS {alias}")

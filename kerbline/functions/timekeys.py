@@ -4,25 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from kerbline.functions.numeric import as_column
 
-
-def date_hour_key(ts: Column | str) -> Column:
-    """``yyyyMMddHH`` as INT, by integer arithmetic instead of formatting and parsing.
+def date_hour_key(ts: str) -> Column:
+    """``yyyyMMddHH`` of a time column as INT, by integer arithmetic instead of
+    formatting and parsing text.
 
     Like the textual form it leaves the INT range from year 2148 on, which ANSI mode
     reports as an error.
     """
-    ts = as_column(ts)
-    return (
-        F.year(ts) * 1_000_000 + F.month(ts) * 10_000 + F.day(ts) * 100 + F.hour(ts)
-    ).cast("int")
+    return F.expr(f"int(year({ts}) * 1000000 + month({ts}) * 10000 + day({ts}) * 100 + hour({ts}))")
 
 
-def elapsed_minutes(start: Column | str, end: Column | str) -> Column:
-    """Minutes between two wall-clock times at second resolution, as DOUBLE."""
-    return (F.unix_timestamp(as_column(end)) - F.unix_timestamp(as_column(start))) / 60
+def minutes_between(start: str, end: str) -> str:
+    """SQL text: minutes between two wall-clock times at second resolution, as DOUBLE."""
+    return f"((unix_timestamp({end}) - unix_timestamp({start})) / 60)"
 
 
-def is_weekend(ts: Column | str) -> Column:
-    return F.dayofweek(as_column(ts)).isin(1, 7)
+def elapsed_minutes(start: str, end: str) -> Column:
+    return F.expr(minutes_between(start, end))

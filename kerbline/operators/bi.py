@@ -36,8 +36,8 @@ def borough_flows(fact: DataFrame, zone: DataFrame) -> DataFrame:
         .groupBy("pickup_borough", "dropoff_borough")
         .agg(
             F.sum(TRIPS).alias("total_trips"),
-            total("trip_distance").alias("total_distance_miles"),
-            total("total_amount").alias("total_revenue"),
+            total("trip_distance", "total_distance_miles"),
+            total("total_amount", "total_revenue"),
         )
         .orderBy(F.desc("total_trips"), "pickup_borough", "dropoff_borough")
     )
@@ -56,8 +56,8 @@ def top_pickup_zones(fact: DataFrame, zone: DataFrame, k: int | None = None) ->
         .groupBy("pickup_borough", "pickup_zone")
         .agg(
             F.sum(TRIPS).alias("total_trips"),
-            mean("trip_distance").alias("avg_trip_distance_miles"),
-            total("total_amount").alias("total_revenue"),
+            mean("trip_distance", "avg_trip_distance_miles"),
+            total("total_amount", "total_revenue"),
         )
         .orderBy(F.desc("total_trips"), "pickup_borough", "pickup_zone")
     )
@@ -76,8 +76,8 @@ def temporal_patterns(fact: DataFrame, date: DataFrame) -> DataFrame:
         .agg(
             F.sum(TRIPS).alias("total_trips"),
             F.sum("_passengers").alias("total_passengers"),
-            mean("trip_duration_min").alias("avg_duration_minutes"),
-            mean("fare_amount").alias("avg_fare_amount"),
+            mean("trip_duration_min", "avg_duration_minutes"),
+            mean("fare_amount", "avg_fare_amount"),
         )
         .orderBy("is_weekend", "pickup_hour")
     )
@@ -85,10 +85,8 @@ def temporal_patterns(fact: DataFrame, date: DataFrame) -> DataFrame:
 
 def weather_condition() -> Column:
     """Snow before rain before clear; unknown measures count as clear."""
-    return (
-        F.when(F.col("snowfall") > 0, "Snow")
-        .when(F.col("precipitation") > 0, "Rain/Precipitation")
-        .otherwise("Clear/Dry")
+    return F.expr(
+        "CASE WHEN snowfall > 0 THEN 'Snow' WHEN precipitation > 0 THEN 'Rain/Precipitation' ELSE 'Clear/Dry' END"
     )
 
 
@@ -103,16 +101,16 @@ def weather_impact(fact: DataFrame, weather: DataFrame) -> DataFrame:
         weather_condition().alias("weather_condition"),
         "temperature_2m",
     )
-    weighted = F.sum(F.col("temperature_2m").cast("decimal(18,4)") * F.col(TRIPS)).cast("double")
-    weight = F.sum(F.when(F.col("temperature_2m").isNotNull(), F.col(TRIPS)))
+    weighted = f"double(sum(cast(temperature_2m AS decimal(18,4)) * {TRIPS}))"
+    weight = f"sum(CASE WHEN temperature_2m IS NOT NULL THEN {TRIPS} END)"
     return (
         by_hour.join(hours, "pickup_date_hour_key")
         .groupBy("weather_condition")
         .agg(
-            round_half_up(F.try_divide(weighted, weight), 1).alias("avg_temperature_c"),
+            round_half_up(f"try_divide({weighted}, {weight})", 1).alias("avg_temperature_c"),
             F.sum(TRIPS).alias("total_trips"),
-            mean("trip_distance").alias("avg_distance_miles"),
-            mean("trip_duration_min").alias("avg_duration_minutes"),
+            mean("trip_distance", "avg_distance_miles"),
+            mean("trip_duration_min", "avg_duration_minutes"),
         )
         .orderBy(F.desc("total_trips"), "weather_condition")
     )
@@ -190,8 +188,8 @@ def advisory_impact(
         .groupBy("borough", chosen["advisory_type"].alias("_type"))
         .agg(
             F.sum(TRIPS).alias("total_trips"),
-            mean("trip_duration_min").alias("avg_duration_minutes"),
-            mean("total_amount").alias("avg_total_fare"),
+            mean("trip_duration_min", "avg_duration_minutes"),
+            mean("total_amount", "avg_total_fare"),
         )
         .select(
             "borough",
@@ -211,16 +209,16 @@ def kpi_summary(fact: DataFrame) -> DataFrame:
     )
 
     def avg(measure: str) -> Column:
-        return round_half_up(F.try_divide(F.col(f"{measure}__sum"), F.col(f"{measure}__n") * 100))
+        return round_half_up(f"try_divide({measure}__sum, {measure}__n * 100)")
 
     return merged.select(
         F.col(TRIPS).alias("total_trips"),
         "total_passengers",
-        round_half_up(F.col("total_amount__sum") / 100).alias("total_revenue_usd"),
+        round_half_up("total_amount__sum / 100").alias("total_revenue_usd"),
         avg("fare_amount").alias("avg_fare_usd"),
         avg("trip_distance").alias("avg_distance_miles"),
         avg("trip_duration_min").alias("avg_duration_minutes"),
-        round_half_up(F.try_divide(F.col("total_amount__sum"), F.col("trip_distance__sum"))).alias("revenue_per_mile"),
+        round_half_up("try_divide(total_amount__sum, trip_distance__sum)").alias("revenue_per_mile"),
     )
 
 

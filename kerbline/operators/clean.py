@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from kerbline.functions.timekeys import elapsed_minutes
 from kerbline.operators.dedup import keep_unless, union_by_name
@@ -32,55 +32,54 @@ def with_duration(df: DataFrame, start: str = PICKUP, end: str = DROPOFF, out: s
     return df.withColumn(out, elapsed_minutes(start, end))
 
 
-def hard_exclude_rule(window_start: str, window_end: str, distance_cap: float = DISTANCE_CAP) -> Column:
-    """TRUE for rows that are no usable trips: pickup outside ``[start, end)``, drop-off
-    before pickup, or a distance beyond the cap."""
-    pickup, dropoff = F.col(PICKUP), F.col(DROPOFF)
-    start, end = (F.lit(t).cast("timestamp_ntz") for t in (window_start, window_end))
-    return (pickup < start) | (pickup >= end) | (dropoff < pickup) | (F.col("trip_distance") > distance_cap)
+def hard_exclude_rules(window_start: str, window_end: str, distance_cap: float = DISTANCE_CAP) -> list[str]:
+    """Conditions under which a row is no usable trip: pickup outside ``[start, end)``,
+    drop-off before pickup, or a distance beyond the cap."""
+    return [
+        f"{PICKUP} < TIMESTAMP_NTZ '{window_start}'",
+        f"{PICKUP} >= TIMESTAMP_NTZ '{window_end}'",
+        f"{DROPOFF} < {PICKUP}",
+        f"trip_distance > {distance_cap}D",
+    ]
 
 
 def hard_excludes(
     df: DataFrame, window_start: str, window_end: str, distance_cap: float = DISTANCE_CAP
 ) -> tuple[DataFrame, DataFrame]:
     """``(kept, excluded)`` trips; together they are exactly the input rows."""
-    rule = hard_exclude_rule(window_start, window_end, distance_cap)
-    return keep_unless(df, rule), df.filter(rule)
+    rules = hard_exclude_rules(window_start, window_end, distance_cap)
+    return keep_unless(df, *rules), df.filter(" OR ".join(rules))
 
 
-def trip_types() -> dict[str, Column]:
-    """Type of every trip column that needs one, as ``name -> expression``."""
-    spec = {c: F.col(c).cast("int") for c in INT_CODES}
-    spec |= {c: F.col(c).cast("timestamp_ntz") for c in (PICKUP, DROPOFF)}
-    spec |= {c: F.round(F.col(c).cast("double"), 2) for c in ("trip_distance", *MONEY)}
-    spec["trip_duration_min"] = F.col("trip_duration_min").cast("decimal(10,2)")
-    spec["store_and_fwd_flag"] = F.col("store_and_fwd_flag").cast("string")
+def trip_types() -> dict[str, str]:
+    """Type of every trip column that needs one, as ``name -> SQL expression``."""
+    spec = {c: f"int({c})" for c in INT_CODES}
+    spec |= {c: f"cast({c} AS timestamp_ntz)" for c in (PICKUP, DROPOFF)}
+    spec |= {c: f"round(double({c}), 2)" for c in ("trip_distance", *MONEY)}
+    spec["trip_duration_min"] = "cast(trip_duration_min AS decimal(10,2))"
+    spec["store_and_fwd_flag"] = "string(store_and_fwd_flag)"
     return spec
 
 
-def apply_types(df: DataFrame, spec: Mapping[str, Column] | None = None) -> DataFrame:
+def apply_types(df: DataFrame, spec: Mapping[str, str] | None = None) -> DataFrame:
     """Apply a type spec in one projection; columns without an entry pass through."""
     spec = trip_types() if spec is None else spec
-    return df.select(*[spec[c].alias(c) if c in spec else F.col(c) for c in df.columns])
+    return df.selectExpr(*[f"{spec.get(c, f'`{c}`')} AS `{c}`" for c in df.columns])
 
 
-def trip_flags() -> dict[str, Column]:
-    """The six row flags. Flagged rows stay; a flag is never NULL."""
-    zero_minutes = F.col("trip_duration_min") == 0
-    rules = {
-        "flag_vendor6_incomplete": (F.col("VendorID") == 6) & F.col("RatecodeID").isNull(),
-        "flag_zero_duration_nonzero_distance": zero_minutes & (F.col("trip_distance") != 0),
-        "flag_no_real_dropoff": zero_minutes & (F.col("trip_distance") == 0) & (F.col("fare_amount") > 0),
-        "flag_negative_fare": (F.coalesce(F.col("fare_amount"), F.lit(0.0)) < 0)
-        | (F.coalesce(F.col("total_amount"), F.lit(0.0)) < 0),
-        "flag_negative_tip": F.col("tip_amount") < 0,
-        "flag_zero_passengers": F.col("passenger_count") == 0,
-    }
-    return {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
+#: The six row flags. Flagged rows stay; a flag is never NULL.
+TRIP_FLAGS = {
+    "flag_vendor6_incomplete": "VendorID = 6 AND RatecodeID IS NULL",
+    "flag_zero_duration_nonzero_distance": "trip_duration_min = 0 AND trip_distance <> 0",
+    "flag_no_real_dropoff": "trip_duration_min = 0 AND trip_distance = 0 AND fare_amount > 0",
+    "flag_negative_fare": "coalesce(fare_amount < 0, false) OR coalesce(total_amount < 0, false)",
+    "flag_negative_tip": "tip_amount < 0",
+    "flag_zero_passengers": "passenger_count = 0",
+}
 
 
 def with_flags(df: DataFrame) -> DataFrame:
-    return df.withColumns(trip_flags())
+    return df.selectExpr("*", *[f"coalesce({rule}, false) AS {name}" for name, rule in TRIP_FLAGS.items()])
 
 
 #: Flags whose rows a measure must leave out.
@@ -98,9 +97,7 @@ MEASURE_EXCLUDES = {
 
 def for_measure(df: DataFrame, measure: str) -> DataFrame:
     """Rows a measure may use, by the flags of :func:`with_flags`."""
-    for flag in MEASURE_EXCLUDES[measure]:
-        df = df.filter(~F.col(flag))
-    return df
+    return df.filter(" AND ".join(f"NOT {flag}" for flag in MEASURE_EXCLUDES[measure]))
 
 
 def clean_trips(
@@ -114,34 +111,25 @@ def clean_trips(
 
 def clean_weather(df: DataFrame) -> DataFrame:
     """Distinct, typed hourly observations that have a time."""
-    return (
-        df.filter(F.col("observation_time").isNotNull())
-        .select(
-            "elevation", "latitude", "longitude", "observation_time", "precipitation", "rain", "snowfall",
-            "temperature_2m",
-            F.trim("timezone").alias("timezone"),
-            F.col("weather_code").cast("int").alias("weather_code"),
-            "wind_speed_10m",
-        )
-        .distinct()
-    )
+    return df.filter("observation_time IS NOT NULL").selectExpr(
+        "elevation", "latitude", "longitude", "observation_time", "precipitation", "rain", "snowfall",
+        "temperature_2m", "trim(timezone) AS timezone", "int(weather_code) AS weather_code", "wind_speed_10m",
+    ).distinct()
 
 
-def title_case(column: str, exceptions: Mapping[str, str]) -> Column:
-    """Title case split on blanks, except for names with a spelling of their own."""
-    text = F.trim(F.col(column).cast("string"))
-    styled = F.initcap(text)
-    for upper, spelling in exceptions.items():
-        styled = F.when(F.upper(text) == upper, F.lit(spelling)).otherwise(styled)
-    return styled
+def title_case(column: str, exceptions: Mapping[str, str]) -> str:
+    """SQL text: title case split on blanks, except for names with a spelling of their own."""
+    text = f"trim(string({column}))"
+    own = " ".join(f"WHEN '{upper}' THEN '{spelling}'" for upper, spelling in exceptions.items())
+    return f"CASE upper({text}) {own} ELSE initcap({text}) END"
 
 
 def clean_zones(df: DataFrame) -> DataFrame:
     """Zone lookup with an INT id and uniform spelling; a malformed id becomes NULL."""
     upper = {name: name for name in KEPT_UPPER}
-    return df.select(
-        F.col("LocationID").cast("string").try_cast("int").alias("location_id"),
-        title_case("Borough", upper).alias("borough"),
-        title_case("Zone", ZONE_SPELLING).alias("zone"),
-        title_case("service_zone", upper).alias("service_zone"),
+    return df.selectExpr(
+        "try_cast(string(LocationID) AS int) AS location_id",
+        f"{title_case('Borough', upper)} AS borough",
+        f"{title_case('Zone', ZONE_SPELLING)} AS zone",
+        f"{title_case('service_zone', upper)} AS service_zone",
     )

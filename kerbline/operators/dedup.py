@@ -23,10 +23,11 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
 
 
-def keep_unless(df: DataFrame, excluded: Column) -> DataFrame:
-    """Rows for which the rule is not TRUE (a NULL rule keeps the row).
+def keep_unless(df: DataFrame, *rules: str) -> DataFrame:
+    """Rows for which no rule is TRUE (a NULL outcome keeps the row).
 
-    Equals the multiset difference "all rows minus rows hit by the rule" without its
-    full-row shuffle, because the rule depends on the row alone.
+    Equals the multiset difference "all rows minus rows hit by a rule" without its
+    full-row shuffle, because the rules depend on the row alone. Rule by rule, so that
+    each simple one can be checked against file statistics.
     """
-    return df.filter(~F.coalesce(excluded, F.lit(False)))
+    return df.filter(" AND ".join(f"(NOT ({rule}) OR ({rule}) IS NULL)" for rule in rules))

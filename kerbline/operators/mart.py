@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kerbline.functions.numeric import round_half_up
-from kerbline.functions.timekeys import date_hour_key, elapsed_minutes, is_weekend
+from kerbline.functions.numeric import rounded
+from kerbline.functions.timekeys import date_hour_key, minutes_between
 from kerbline.operators.clean import DROPOFF, PICKUP
 
 
@@ -25,18 +25,11 @@ def dim_advisory(history: DataFrame) -> DataFrame:
 def dim_date(trips: DataFrame, ts: str = PICKUP) -> DataFrame:
     """One row per hour that has a pickup. Distinct over the truncated hour (8 bytes per
     row to shuffle, combined map-side); the calendar columns are derived afterwards."""
-    hours = trips.filter(F.col(ts).isNotNull()).select(F.date_trunc("hour", ts).cast("timestamp_ntz").alias("_h")).distinct()
-    h = F.col("_h")
-    return hours.select(
-        date_hour_key(h).alias("date_hour_key"),
-        h.cast("date").alias("full_date"),
-        F.hour(h).alias("pickup_hour"),
-        F.year(h).alias("year"),
-        F.month(h).alias("month"),
-        F.day(h).alias("day"),
-        F.date_format(h, "EEEE").alias("day_of_week"),
-        is_weekend(h).alias("is_weekend"),
-    )
+    hours = trips.filter(f"{ts} IS NOT NULL").selectExpr(f"cast(date_trunc('hour', {ts}) AS timestamp_ntz) AS _h").distinct()
+    return hours.select(date_hour_key("_h").alias("date_hour_key"), F.expr("date(_h) AS full_date"),
+                        F.expr("hour(_h) AS pickup_hour"), F.expr("year(_h) AS year"), F.expr("month(_h) AS month"),
+                        F.expr("day(_h) AS day"), F.expr("date_format(_h, 'EEEE') AS day_of_week"),
+                        F.expr("dayofweek(_h) IN (1, 7) AS is_weekend"))
 
 
 _WEATHER_MEASURES = ("temperature_2m", "precipitation", "rain", "snowfall", "weather_code", "wind_speed_10m")
@@ -49,12 +42,11 @@ def dim_weather(weather: DataFrame, by_location: bool = False, average_locations
     ``average_locations`` folds several places of one hour into one row, which keeps
     trips from being multiplied when a feed holds more than one place.
     """
-    ts = F.col("observation_time")
     place = ["borough"] if by_location else []
-    rows = weather.filter(ts.isNotNull()).select(
-        date_hour_key(ts).alias("date_hour_key"),
-        ts.cast("date").alias("observation_date"),
-        F.hour(ts).alias("observation_hour"),
+    rows = weather.filter("observation_time IS NOT NULL").select(
+        date_hour_key("observation_time").alias("date_hour_key"),
+        F.expr("date(observation_time) AS observation_date"),
+        F.expr("hour(observation_time) AS observation_hour"),
         *place,
         *_WEATHER_MEASURES,
     )
@@ -62,7 +54,7 @@ def dim_weather(weather: DataFrame, by_location: bool = False, average_locations
         return rows
     return rows.groupBy("date_hour_key", "observation_date", "observation_hour", *place).agg(
         *[
-            (F.max(m) if m == "weather_code" else round_half_up(F.avg(F.col(m).cast("decimal(18,4)")))).alias(m)
+            F.expr(f"max({m}) AS {m}" if m == "weather_code" else f"{rounded(f'avg(cast({m} AS decimal(18,4)))')} AS {m}")
             for m in _WEATHER_MEASURES
         ]
     )
@@ -74,20 +66,20 @@ def dim_zone(zones: DataFrame) -> DataFrame:
 
 def fact_trip(trips: DataFrame, min_minutes: float = 1.0, max_minutes: float = 1440.0) -> DataFrame:
     """Trips between ``min_minutes`` and ``max_minutes`` long (unrounded), mart columns only."""
-    minutes = elapsed_minutes(PICKUP, DROPOFF)
+    minutes = minutes_between(PICKUP, DROPOFF)
     return trips.filter(
-        F.col(PICKUP).isNotNull() & F.col(DROPOFF).isNotNull() & minutes.between(min_minutes, max_minutes)
+        f"{PICKUP} IS NOT NULL AND {DROPOFF} IS NOT NULL AND {minutes} BETWEEN {min_minutes}D AND {max_minutes}D"
     ).select(
-        F.col("PULocationID").alias("pu_location_id"),
-        F.col("DOLocationID").alias("do_location_id"),
+        F.expr("PULocationID AS pu_location_id"),
+        F.expr("DOLocationID AS do_location_id"),
         date_hour_key(PICKUP).alias("pickup_date_hour_key"),
-        F.col(PICKUP).alias("pickup_datetime"),
-        F.col(DROPOFF).alias("dropoff_datetime"),
-        F.hour(PICKUP).alias("pickup_hour"),
-        F.hour(DROPOFF).alias("dropoff_hour"),
+        F.expr(f"{PICKUP} AS pickup_datetime"),
+        F.expr(f"{DROPOFF} AS dropoff_datetime"),
+        F.expr(f"hour({PICKUP}) AS pickup_hour"),
+        F.expr(f"hour({DROPOFF}) AS dropoff_hour"),
         "passenger_count",
         "trip_distance",
-        round_half_up(minutes).alias("trip_duration_min"),
+        F.expr(f"{rounded(minutes)} AS trip_duration_min"),
         "fare_amount",
         "total_amount",
     )

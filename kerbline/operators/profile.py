@@ -12,28 +12,24 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from kerbline.functions.numeric import percentage
+from kerbline.functions.numeric import rounded
 
 
 def profile_column(df: DataFrame, table: str, column: str) -> DataFrame:
     """One profile row of one column; ties of the most common value go to the smallest."""
     data_type = df.schema[column].dataType
-    value = F.col(f"`{column}`")
-    if isinstance(data_type, (T.MapType, T.VariantType)):
-        value = F.to_json(value)  # neither can be grouped or ordered
-    counts = df.select(value.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    present = F.col("v").isNotNull()
-    rows = F.coalesce(F.sum("n"), F.lit(0))
-    nulls = F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0))
+    # Maps and variants can be neither grouped nor ordered.
+    value = f"to_json(`{column}`)" if isinstance(data_type, (T.MapType, T.VariantType)) else f"`{column}`"
+    counts = df.selectExpr(f"{value} AS v").groupBy("v").agg(F.expr("count(1) AS n"))
     figures = counts.agg(
-        rows.alias("total_rows"),
-        nulls.alias("null_count"),
-        F.count("v").alias("distinct_count"),
-        F.min("v").alias("_min"),
-        F.max("v").alias("_max"),
-        F.min(F.when(present, F.struct((-F.col("n")).alias("n"), F.col("v")))).alias("_top"),
+        F.expr("coalesce(sum(n), 0) AS total_rows"),
+        F.expr("coalesce(sum(n) FILTER (WHERE v IS NULL), 0) AS null_count"),
+        F.expr("count(v) AS distinct_count"),
+        F.expr("min(v) AS lowest"),
+        F.expr("max(v) AS highest"),
+        F.expr("min(CASE WHEN v IS NOT NULL THEN struct(-n AS rank, v) END) AS top"),
     )
     return figures.select(
         F.lit(table).alias("table_name"),
@@ -41,12 +37,12 @@ def profile_column(df: DataFrame, table: str, column: str) -> DataFrame:
         F.lit(data_type.simpleString()).alias("data_type"),
         "total_rows",
         "null_count",
-        percentage(F.col("null_count"), F.col("total_rows")).alias("null_percentage"),
+        F.expr(f"{rounded('try_divide(null_count * 100.0D, total_rows)')} AS null_percentage"),
         "distinct_count",
-        percentage(F.col("distinct_count"), F.col("total_rows")).alias("distinct_percentage"),
-        F.col("_min").cast("string").alias("min_value"),
-        F.col("_max").cast("string").alias("max_value"),
-        F.col("_top.v").cast("string").alias("most_common_value"),
+        F.expr(f"{rounded('try_divide(distinct_count * 100.0D, total_rows)')} AS distinct_percentage"),
+        F.expr("string(lowest) AS min_value"),
+        F.expr("string(highest) AS max_value"),
+        F.expr("string(top.v) AS most_common_value"),
     )
 
 
@@ -61,7 +57,7 @@ def profile_all(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [profile(df, name) for name, df in tables.items()])
 
 
-def profile_schema(spark, schema: str) -> DataFrame:
+def profile_schema(spark: SparkSession, schema: str) -> DataFrame:
     """Profile every table of a catalog schema."""
     names = [t.name for t in spark.catalog.listTables(schema) if not t.isTemporary]
     return profile_all({name: spark.table(f"{schema}.{name}") for name in names})

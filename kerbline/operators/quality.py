@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbline.functions.numeric import percentage
+from kerbline.functions.numeric import as_column, rounded
 
 #: Shape of every result row.
 RESULT_COLUMNS = ("column", "data_quality_check", "failed_rows", "total_rows", "percentage", "status")
@@ -33,17 +33,16 @@ class Policy:
     level: str = "FAIL"
     limit: float = 5.0
 
-    def status(self, failed: Column, total: Column) -> Column:
-        share = F.try_divide(failed * F.lit(100.0), total)
-        clean = F.when(failed == 0, "PASS")
+    def sql(self, failed: str, total: str) -> str:
+        share = f"try_divide({failed} * 100.0D, {total})"
         if self.kind == "severity":
-            return clean.otherwise(self.level)
+            return f"CASE WHEN {failed} = 0 THEN 'PASS' ELSE '{self.level}' END"
         if self.kind == "percent":
-            return clean.when(share < self.limit, "WARN").otherwise("FAIL")
+            return f"CASE WHEN {failed} = 0 THEN 'PASS' WHEN {share} < {self.limit}D THEN 'WARN' ELSE 'FAIL' END"
         if self.kind == "placeholder":
-            return F.when(share > self.limit, "FAIL").when(failed > 0, "WARN").otherwise("PASS")
+            return f"CASE WHEN {share} > {self.limit}D THEN 'FAIL' WHEN {failed} > 0 THEN 'WARN' ELSE 'PASS' END"
         if self.kind == "tolerated":
-            return F.when(failed <= self.limit, "PASS").otherwise("WARN")
+            return f"CASE WHEN {failed} <= {self.limit}D THEN 'PASS' ELSE 'WARN' END"
         raise ValueError(f"unknown status policy: {self.kind}")
 
 
@@ -57,8 +56,9 @@ def tolerated(rows: int) -> Policy:
     return Policy("tolerated", limit=rows)
 
 
-def status(failed: Column, total: Column, policy: Policy) -> Column:
-    return policy.status(failed, total)
+def status(failed: str, total: str, policy: Policy) -> Column:
+    """Status column from two SQL expressions."""
+    return F.expr(policy.sql(failed, total))
 
 
 # --- checks ---------------------------------------------------------------------------
@@ -66,24 +66,30 @@ def status(failed: Column, total: Column, policy: Policy) -> Column:
 
 @dataclass(frozen=True)
 class Check:
-    """A named check. ``failed`` is an aggregate over the table it runs on; ``total``
-    defaults to the row count of that table."""
+    """A named check. ``failed`` is an aggregate over the table it runs on (Column or SQL
+    text); ``total`` defaults to the row count of that table."""
 
     column: str
     dimension: str
-    failed: Column
+    failed: Column | str
     policy: Policy
-    total: Column | None = None
+    total: Column | str | None = None
 
 
-def passes(column: str, dimension: str, rule: Column, policy: Policy) -> Check:
+def passes(column: str, dimension: str, rule: Column | str, policy: Policy) -> Check:
     """Row rule that good rows meet. A NULL outcome is not a failure."""
-    return Check(column, dimension, F.count_if(~rule), policy)
+    failed = f"count_if(NOT ({rule}))" if isinstance(rule, str) else F.count_if(~rule)
+    return Check(column, dimension, failed, policy)
 
 
-def fails(column: str, dimension: str, rule: Column, policy: Policy) -> Check:
+def fails(column: str, dimension: str, rule: Column | str, policy: Policy) -> Check:
     """Row rule that bad rows meet. A NULL outcome is not a failure."""
-    return Check(column, dimension, F.count_if(rule), policy)
+    failed = f"count_if({rule})" if isinstance(rule, str) else F.count_if(rule)
+    return Check(column, dimension, failed, policy)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def run_checks(
@@ -95,31 +101,26 @@ def run_checks(
     instance the row count of another layer as a scalar subquery. ``empty_percentage``
     is reported when the denominator is zero (default NULL).
     """
-    metrics = [F.count(F.lit(1)).alias("_rows")]
+    metrics = [F.expr("count(1) AS _rows")]
+    rows = []
     for i, check in enumerate(checks):
-        metrics.append(check.failed.cast("long").alias(f"_failed_{i}"))
+        failed, whole = f"bigint(_failed_{i})", "_rows"
+        metrics.append(as_column(check.failed).alias(f"_failed_{i}"))
         if check.total is not None:
-            metrics.append(check.total.cast("long").alias(f"_total_{i}"))
+            metrics.append(as_column(check.total).alias(f"_total_{i}"))
+            whole = f"bigint(_total_{i})"
+        share = rounded(f"try_divide({failed} * 100.0D, {whole})")
+        if empty_percentage is not None:
+            share = f"coalesce({share}, {empty_percentage}D)"
+        rows.append(
+            f"struct({_quoted(check.column)} AS `column`, {_quoted(check.dimension)} AS data_quality_check, "
+            f"{failed} AS failed_rows, {whole} AS total_rows, {share} AS percentage, "
+            f"{check.policy.sql(failed, whole)} AS status)"
+        )
     counted = df.agg(*metrics)
     if total is not None:
         counted = counted.withColumn("_rows", total.cast("long"))
-
-    rows = []
-    for i, check in enumerate(checks):
-        failed = F.col(f"_failed_{i}")
-        whole = F.col(f"_total_{i}" if check.total is not None else "_rows")
-        share = percentage(failed, whole)
-        if empty_percentage is not None:
-            share = F.coalesce(share, F.lit(empty_percentage))
-        rows.append(F.struct(
-            F.lit(check.column).alias("column"),
-            F.lit(check.dimension).alias("data_quality_check"),
-            failed.alias("failed_rows"),
-            whole.alias("total_rows"),
-            share.alias("percentage"),
-            check.policy.status(failed, whole).alias("status"),
-        ))
-    return counted.select(F.inline(F.array(*rows)))
+    return counted.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def key_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -128,26 +129,22 @@ def key_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     NULL keys count as rows but not as distinct keys, like COUNT(DISTINCT). Keys are
     combined map-side, so copies of one key do not travel.
     """
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    no_null = F.lit(True)
-    for k in keys:
-        no_null = no_null & F.col(k).isNotNull()
+    has_null = " OR ".join(f"`{k}` IS NULL" for k in keys)
+    per_key = df.groupBy(*keys).agg(F.expr("count(1) AS _n"))
     return per_key.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.count_if(no_null).alias("distinct_keys"),
-        F.coalesce(F.sum(F.when(~no_null, F.col("_n"))), F.lit(0)).alias("null_keys"),
-        F.count_if(F.col("_n") > 1).alias("repeated_keys"),
+        F.expr("coalesce(sum(_n), 0) AS rows"),
+        F.expr(f"count_if(NOT ({has_null})) AS distinct_keys"),
+        F.expr(f"coalesce(sum(_n) FILTER (WHERE {has_null}), 0) AS null_keys"),
+        F.expr("count_if(_n > 1) AS repeated_keys"),
     )
 
 
 def duplicate_rows(df: DataFrame, policy: Policy = FAIL_ON_ANY, empty_percentage: float | None = 0.0) -> DataFrame:
     """Whole-row duplicates: rows minus distinct rows, from one grouped pass."""
-    per_row = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    surplus = F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))
-    rows = F.coalesce(F.sum("_n"), F.lit(0))
+    per_row = df.groupBy(*df.columns).agg(F.expr("count(1) AS _n")).select("_n")
+    surplus, rows = "coalesce(sum(_n - 1), 0)", "coalesce(sum(_n), 0)"
     return run_checks(
-        per_row.select("_n"), [Check("ALL_COLUMNS", "Uniqueness", surplus, policy, rows)],
-        empty_percentage=empty_percentage,
+        per_row, [Check("ALL_COLUMNS", "Uniqueness", surplus, policy, rows)], empty_percentage=empty_percentage
     )
 
 
@@ -157,13 +154,10 @@ def iqr_bounds(df: DataFrame, column: str, accuracy: int = 100_000, factor: floa
     Quartiles come from a mergeable sketch with rank error ``rows / accuracy``; they are
     the exact order statistics while the table has fewer rows than ``accuracy``.
     """
-    quartiles = df.agg(
-        F.percentile_approx(column, [0.25, 0.75], F.lit(accuracy)).alias("q")
-    ).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-    spread = (F.col("q3") - F.col("q1")) * factor
-    return quartiles.select(
-        F.greatest(F.lit(0.0), F.col("q1") - spread).alias("lower"),
-        (F.col("q3") + spread).alias("upper"),
+    quartiles = df.agg(F.expr(f"percentile_approx(`{column}`, array(0.25, 0.75), {accuracy}) AS q"))
+    return quartiles.selectExpr(
+        f"greatest(0.0D, q[0] - {factor}D * (q[1] - q[0])) AS lower",
+        f"q[1] + {factor}D * (q[1] - q[0]) AS upper",
     )
 
 
@@ -177,26 +171,18 @@ def missing_keys(source: DataFrame, target: DataFrame, source_key: str, target_k
 def floor_check(df: DataFrame, column: str, floor: int, label: str, dimension: str = "Validity",
                 policy: Policy = BY_PERCENT) -> DataFrame:
     """Canary: fails (1) unless the column has more than ``floor`` distinct values."""
-    distinct = F.countDistinct(column)
+    distinct = f"count(DISTINCT `{column}`)"
     return run_checks(
-        df, [Check(label, dimension, F.when(distinct > floor, 0).otherwise(1), policy, distinct)]
+        df, [Check(label, dimension, f"CASE WHEN {distinct} > {floor} THEN 0 ELSE 1 END", policy, distinct)]
     )
 
 
-def reconcile(source: DataFrame, landed: DataFrame, name: str = "rows") -> DataFrame:
+def reconcile(source: DataFrame, landed: DataFrame, name: str = "rows", policy: Policy = FAIL_ON_ANY) -> DataFrame:
     """Rows landed must equal rows in the source; the failure is the difference."""
-    expected = source.agg(F.count(F.lit(1)).alias("n")).scalar()
+    expected = source.agg(F.expr("count(1) AS n")).scalar()
+    sizes = landed.agg(F.expr("count(1) AS landed")).withColumn("expected", expected)
     return run_checks(
-        landed,
-        [Check(name, "Completeness", F.abs(F.count(F.lit(1)) - F.lit(0)), FAIL_ON_ANY)],
-    ).select(
-        "column", "data_quality_check",
-        F.abs(F.col("total_rows") - expected).alias("failed_rows"),
-        expected.alias("total_rows"),
-    ).select(
-        "*",
-        percentage(F.col("failed_rows"), F.col("total_rows")).alias("percentage"),
-        FAIL_ON_ANY.status(F.col("failed_rows"), F.col("total_rows")).alias("status"),
+        sizes, [Check(name, "Completeness", "sum(abs(landed - expected))", policy, "sum(expected)")]
     )
 
 

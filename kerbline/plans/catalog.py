@@ -45,12 +45,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _now():
-    return F.lit(feeds.NOW).cast("timestamp_ntz")
-
-
-def _today():
-    return F.lit(feeds.TODAY).cast("date")
+NOW_SQL = f"TIMESTAMP_NTZ '{feeds.NOW}'"
+TODAY_SQL = f"DATE '{feeds.TODAY}'"
 
 
 # --- sources and sinks --------------------------------------------------------------------
@@ -711,7 +707,7 @@ def duplicate_rows(spark, sf_dir):
 
 @query("DQ-5_weather_checks", o.statement(o.check_rows(o.weather_check_rows("place_weather")), "place_weather"))
 def weather_checks(spark, sf_dir):
-    return rules.weather_checks(clean.clean_weather(feeds.weather_raw(spark, sf_dir, by_place=True)), _now())
+    return rules.weather_checks(clean.clean_weather(feeds.weather_raw(spark, sf_dir, by_place=True)), NOW_SQL)
 
 
 @query("DQ-6_zone_checks", o.statement(o.check_rows(o.zone_check_rows()), "zones"))
@@ -722,7 +718,7 @@ def zone_checks(spark, sf_dir):
 
 @query("DQ-7_advisory_checks", o.statement(o.check_rows(o.advisory_check_rows()), "history", "advisories"))
 def advisory_checks(spark, sf_dir):
-    return rules.advisory_checks(feeds.advisories_raw(spark, sf_dir), feeds.history(spark, sf_dir), _today())
+    return rules.advisory_checks(feeds.advisories_raw(spark, sf_dir), feeds.history(spark, sf_dir), TODAY_SQL)
 
 
 @query("DQ-8_missing_keys", """
@@ -757,14 +753,13 @@ FROM (SELECT l_returnflag, COUNT(*) FILTER (WHERE l_quantity > 48) AS failed_row
 def status_policies(spark, sf_dir):
     counts = feeds.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
         F.count_if(F.col("l_quantity") > 48).alias("failed_rows"), F.count(F.lit(1)).alias("total_rows"))
-    failed, total = F.col("failed_rows"), F.col("total_rows")
     named = {
         "strict": quality.FAIL_ON_ANY, "lenient": quality.WARN_ON_ANY, "by_percent": quality.BY_PERCENT,
         "placeholder": quality.PLACEHOLDER, "tolerated": quality.tolerated(3),
     }
     return counts.select(
         "l_returnflag", "failed_rows", "total_rows",
-        *[quality.status(failed, total, policy).alias(name) for name, policy in named.items()])
+        *[quality.status("failed_rows", "total_rows", policy).alias(name) for name, policy in named.items()])
 
 
 @query("DQ-11_percentage", f"""
@@ -775,8 +770,8 @@ def percentages(spark, sf_dir):
     per = feeds.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
         F.count_if(F.col("c_acctbal") < 0).alias("bad"), F.count(F.lit(1)).alias("n"))
     return per.select(
-        "c_nationkey", percentage(F.col("bad"), F.col("n")).alias("negative_pct"),
-        percentage(F.col("bad"), F.col("n") - F.col("n")).alias("empty_pct"))
+        "c_nationkey", percentage("bad", "n").alias("negative_pct"),
+        percentage("bad", "n - n").alias("empty_pct"))
 
 
 def clean_layer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -784,10 +779,10 @@ def clean_layer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = feeds.zones_raw(spark, sf_dir)
     return rollup.unify({
         "Green Taxi": rules.trip_checks(feeds.trips(spark, sf_dir), *feeds.WINDOW),
-        "Weather": rules.weather_checks(clean.clean_weather(feeds.weather_raw(spark, sf_dir)), _now()),
+        "Weather": rules.weather_checks(clean.clean_weather(feeds.weather_raw(spark, sf_dir)), NOW_SQL),
         "Taxi Zones": rules.zone_checks(zones, clean.clean_zones(zones)),
         "Traffic Advisory": rules.advisory_checks(
-            feeds.advisories_raw(spark, sf_dir), feeds.history(spark, sf_dir), _today()),
+            feeds.advisories_raw(spark, sf_dir), feeds.history(spark, sf_dir), TODAY_SQL),
     })
 
 

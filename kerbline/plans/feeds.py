@@ -17,10 +17,10 @@ pages          ``pages`` with headings and labels added to their markup
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kerbline.functions.keys import sighting_key
-from kerbline.functions.numeric import round_half_up
+from kerbline.functions.numeric import rounded
 from kerbline.operators.clean import clean_trips, clean_weather, clean_zones
 from kerbline.operators.history import load_scrape, rebuild_history, stage_history
 from kerbline.operators.mart import dim_advisory, dim_date, dim_weather, dim_zone, fact_trip
@@ -44,17 +44,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _choose(index: Column, values) -> Column:
-    """The value at ``index`` of a short fixed tuple."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index)
+def _choose(index: str, values) -> str:
+    """SQL text: the value at ``index`` of a short fixed tuple."""
+    listed = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"get(array({listed}), int({index}))"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id", "ts", "user_id", "event_type", "value",
-        F.date_trunc("second", "ts").cast("timestamp_ntz").alias("t"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        (F.col("value").cast("decimal(18,2)") * 100).cast("long").alias("cents"),
+        "cast(date_trunc('second', ts) AS timestamp_ntz) AS t",
+        "int(get_json_object(props, '$.k')) AS k",
+        "bigint(cast(value AS decimal(18,2)) * 100) AS cents",
     )
 
 
@@ -63,19 +64,14 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zones_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    key = F.col("n_nationkey")
-    borough = F.lit(None).cast("string")
-    for name, spelled in BOROUGH_OF_REGION.items():
-        borough = F.when(F.col("r_name") == name, spelled).otherwise(borough)
-    zone = F.replace("n_name", F.lit("_"), F.lit(" "))
-    for number, name in ODD_ZONES.items():
-        zone = F.when(key == number, name).otherwise(zone)
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.when(key == 23, "x23").otherwise((key + 1).cast("string")).alias("LocationID"),
-        F.when(key == 5, " ewr ").when(key != 24, borough).alias("Borough"),
-        zone.alias("Zone"),
-        F.when(key == 9, "EWR").when(key == 14, "N/A").when(key == 21, "Night Zone")
-        .otherwise(_choose(key % 3, ("boro zone", " YELLOW zone", "Airports"))).alias("service_zone"),
+    boroughs = " ".join(f"WHEN '{name}' THEN '{spelling}'" for name, spelling in BOROUGH_OF_REGION.items())
+    odd = " ".join(f"WHEN {key} THEN '{name}'" for key, name in ODD_ZONES.items())
+    usual = _choose("n_nationkey % 3", ("boro zone", " YELLOW zone", "Airports"))
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr(
+        "if(n_nationkey = 23, 'x23', string(n_nationkey + 1)) AS LocationID",
+        f"CASE n_nationkey WHEN 5 THEN ' ewr ' WHEN 24 THEN NULL ELSE CASE r_name {boroughs} END END AS Borough",
+        f"CASE n_nationkey {odd} ELSE replace(n_name, '_', ' ') END AS Zone",
+        f"CASE n_nationkey WHEN 9 THEN 'EWR' WHEN 14 THEN 'N/A' WHEN 21 THEN 'Night Zone' ELSE {usual} END AS service_zone",
     )
 
 
@@ -83,53 +79,46 @@ def zones_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trips_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _events(spark, sf_dir)
-    k, cents, value = F.col("k"), F.col("cents"), F.col("value")
+    reported = "event_type <> 'error'"  # errors stand for the vendor whose metadata is missing
+    fare = "CASE k WHEN 90 THEN -value WHEN 85 THEN NULL ELSE value * 2 END"
+    tip = "if(k = 84, -1.0D, value * (k % 4) / 7)"
     seconds = (
-        F.when(k == 99, -3600).when(k == 98, 60).when(k == 96, 59).when(k == 95, 86400).when(k == 94, 86401)
-        .otherwise(cents * (k % 5))
+        "CASE k WHEN 99 THEN -3600 WHEN 98 THEN 60 WHEN 96 THEN 59 WHEN 95 THEN 86400 WHEN 94 THEN 86401 "
+        "ELSE cents * (k % 5) END"
     )
-    vendor = (
-        F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "signup", 7)
-        .when(F.col("event_type") == "error", 6).otherwise(2)
-    )
-    reported = vendor != 6  # the vendor whose metadata is missing
-    fare = F.when(k == 90, -value).when(k == 85, F.lit(None)).otherwise(value * 2)
-    tip = F.when(k == 84, F.lit(-1.0)).otherwise(value * (k % 4) / 7)
-    return ev.select(
-        vendor.cast("long").alias("VendorID"),
-        F.when(k != 97, F.col("t")).alias("lpep_pickup_datetime"),
-        F.when(k != 88, F.timestamp_add("SECOND", seconds, F.col("t"))).alias("lpep_dropoff_datetime"),
-        F.when(reported, "N").alias("store_and_fwd_flag"),
-        F.when(reported, F.when(k == 89, 99).otherwise(k % 8)).cast("double").alias("RatecodeID"),
-        (F.col("user_id") % 26 + 1).cast("int").alias("PULocationID"),
-        F.when(k == 83, 264).otherwise(k % 27 + 1).cast("int").alias("DOLocationID"),
-        F.when(reported, k % 7).cast("double").alias("passenger_count"),
-        F.when(k == 92, 111005.95).when(k == 91, F.lit(None)).when(k % 10 == 0, 0.0).otherwise(value)
-        .alias("trip_distance"),
-        fare.alias("fare_amount"),
-        F.lit(0.5).alias("extra"),
-        F.lit(0.5).alias("mta_tax"),
-        tip.alias("tip_amount"),
-        F.when(k == 82, 6.94).otherwise(0.0).alias("tolls_amount"),
-        F.lit(None).cast("double").alias("ehail_fee"),
-        F.lit(1.0).alias("improvement_surcharge"),
-        (fare + tip + 2).alias("total_amount"),
-        F.when(reported, k % 7).cast("double").alias("payment_type"),
-        F.when(reported, k % 3).cast("double").alias("trip_type"),
-        F.when(reported, 2.75).alias("congestion_surcharge"),
-        F.lit(0.75).alias("cbd_congestion_fee"),
+    return _events(spark, sf_dir).selectExpr(
+        "CASE event_type WHEN 'view' THEN 1L WHEN 'signup' THEN 7L WHEN 'error' THEN 6L ELSE 2L END AS VendorID",
+        "if(k <> 97, t, NULL) AS lpep_pickup_datetime",
+        f"if(k <> 88, timestampadd(SECOND, {seconds}, t), NULL) AS lpep_dropoff_datetime",
+        f"if({reported}, 'N', NULL) AS store_and_fwd_flag",
+        f"double(if({reported}, if(k = 89, 99, k % 8), NULL)) AS RatecodeID",
+        "int(user_id % 26 + 1) AS PULocationID",
+        "if(k = 83, 264, k % 27 + 1) AS DOLocationID",
+        f"double(if({reported}, k % 7, NULL)) AS passenger_count",
+        "CASE WHEN k = 92 THEN 111005.95D WHEN k = 91 THEN NULL WHEN k % 10 = 0 THEN 0D ELSE value END AS trip_distance",
+        f"{fare} AS fare_amount",
+        "0.5D AS extra",
+        "0.5D AS mta_tax",
+        f"{tip} AS tip_amount",
+        "if(k = 82, 6.94D, 0D) AS tolls_amount",
+        "double(NULL) AS ehail_fee",
+        "1.0D AS improvement_surcharge",
+        f"{fare} + {tip} + 2 AS total_amount",
+        f"double(if({reported}, k % 7, NULL)) AS payment_type",
+        f"double(if({reported}, k % 3, NULL)) AS trip_type",
+        f"if({reported}, 2.75D, NULL) AS congestion_surcharge",
+        "0.75D AS cbd_congestion_fee",
     )
 
 
 def trip_months(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """The trips in three batches by event time that together hold every trip."""
     trips = trips_raw(spark, sf_dir)
-    ts, first, second = F.col("lpep_pickup_datetime"), F.lit("2024-01-11"), F.lit("2024-01-21")
+    ts, first, second = "lpep_pickup_datetime", "TIMESTAMP_NTZ '2024-01-11'", "TIMESTAMP_NTZ '2024-01-21'"
     return [
-        trips.filter(ts < first.cast("timestamp_ntz")),
-        trips.filter((ts >= first.cast("timestamp_ntz")) & (ts < second.cast("timestamp_ntz"))),
-        trips.filter((ts >= second.cast("timestamp_ntz")) | ts.isNull()),
+        trips.filter(f"{ts} < {first}"),
+        trips.filter(f"{ts} >= {first} AND {ts} < {second}"),
+        trips.filter(f"{ts} >= {second} OR {ts} IS NULL"),
     ]
 
 
@@ -163,33 +152,25 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weather_raw(spark: SparkSession, sf_dir: str, by_place: bool = False) -> DataFrame:
     """Hourly observations from the events of each hour (and place)."""
-    place = (F.col("user_id") % 5).cast("int") if by_place else F.lit(2)
-    hours = (
-        _events(spark, sf_dir)
-        .groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h"), place.alias("p"))
-        .agg(
-            F.sum("cents").alias("c"), F.count(F.lit(1)).alias("n"),
-            F.min("k").alias("lo"), F.max("k").alias("hi"),
-        )
+    place = "int(user_id % 5)" if by_place else "2"
+    hours = _events(spark, sf_dir).groupBy(
+        F.expr("cast(date_trunc('hour', ts) AS timestamp_ntz) AS h"), F.expr(f"{place} AS p")
+    ).agg(
+        F.expr("sum(cents) AS c"), F.expr("count(1) AS n"), F.expr("min(k) AS lo"), F.expr("max(k) AS hi")
     )
-    lo, hi, p = F.col("lo"), F.col("hi"), F.col("p")
-    return hours.select(
-        F.when(~((lo == 7) & (hi == 97)), F.col("h")).alias("observation_time"),
-        round_half_up(F.col("c") / (F.col("n") * 100) - 40, 1).alias("temperature_2m"),
-        F.when(lo % 3 == 0, lo / 10).otherwise(0.0).alias("precipitation"),
-        F.when(hi % 11 != 0, (lo % 4 - 1) / 10).alias("rain"),
-        F.when(lo % 5 == 0, (hi % 7) / 10).when(lo % 5 != 1, 0.0).alias("snowfall"),
-        hi.cast("long").alias("weather_code"),
-        (F.col("c") / 100).alias("wind_speed_10m"),
-        (F.lit(403.5) + p * 1.5).alias("_lat10"),
-        p.alias("_place"),
-    ).select(
-        "observation_time", "temperature_2m", "precipitation", "rain", "snowfall", "weather_code", "wind_speed_10m",
-        (F.col("_lat10") / 10).alias("latitude"),
-        F.lit(-73.95).alias("longitude"),
-        F.lit(" America/New_York ").alias("timezone"),
-        F.lit(10.0).alias("elevation"),
-        _choose(F.col("_place"), PLACES).alias("borough"),
+    return hours.selectExpr(
+        "if(NOT (lo = 7 AND hi = 97), h, NULL) AS observation_time",
+        f"{rounded('c / (n * 100) - 40', 1)} AS temperature_2m",
+        "if(lo % 3 = 0, lo / 10, 0D) AS precipitation",
+        "if(hi % 11 <> 0, (lo % 4 - 1) / 10, NULL) AS rain",
+        "CASE WHEN lo % 5 = 0 THEN (hi % 7) / 10 WHEN lo % 5 <> 1 THEN 0D END AS snowfall",
+        "bigint(hi) AS weather_code",
+        "c / 100 AS wind_speed_10m",
+        "(403.5D + p * 1.5D) / 10 AS latitude",
+        "-73.95D AS longitude",
+        "' America/New_York ' AS timezone",
+        "10D AS elevation",
+        f"{_choose('p', PLACES)} AS borough",
     )
 
 
@@ -214,40 +195,30 @@ def weather_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scrape_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw advisory entries, with repeats inside and across the weekly scrapes."""
-    ev = _events(spark, sf_dir)
-    k, section = F.col("k"), (F.col("user_id") % 6).cast("int")
-    week = F.date_trunc("week", "ts").cast("date")
-    day = F.col("ts").cast("date")
-    label = F.when(F.col("event_type") == "click", "Route").when(F.col("event_type") == "signup", "Formation")
-    undated = label.isNotNull()
-    street, begin, end = (
-        F.concat(F.lit(name), k % 5) for name in ("Street ", "Avenue ", "Avenue 1")
-    )
-    prose = F.concat(F.col("event_type"), F.lit(" work "), k % 5)
-    last_day = F.date_add(day, F.when(k == 86, -1).otherwise(k % 4))
-    entries = ev.select(
-        _choose(section, [s[0] for s in SECTIONS]).alias("section_id"),
-        _choose(section, [s[1] for s in SECTIONS]).alias("section_name"),
-        F.concat(F.lit("Location "), F.col("user_id")).alias("location_name"),
-        F.when(k == 87, F.lit(None)).when(F.col("event_type") == "purchase", "event").otherwise("construction")
-        .alias("entry_type"),
-        label.alias("detail_label"),
-        F.when(undated, F.concat(street, F.lit(" between "), begin, F.lit(" and "), end)).otherwise(prose)
-        .alias("advisory_text"),
-        F.when(undated, street).alias("street_name"),
-        F.when(undated, begin).alias("from_street"),
-        F.when(undated, end).alias("to_street"),
-        F.when(~undated, day.cast("string")).alias("date_first_mentioned"),
-        F.when(~undated, last_day.cast("string")).alias("date_last_mentioned"),
-        F.when(undated, 0).otherwise(2).alias("n_dates_mentioned"),
-        week.cast("string").alias("advisory_week_start"),
-        F.date_add(week, 6).cast("string").alias("advisory_week_end"),
-        F.lit("").alias("advisory_week_text"),
-        F.lit("https://example.org/advisories").alias("source_url"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("scraped_at_iso"),
-        week.cast("string").alias("scrape_date"),
-        F.lit("advisory_feed").alias("source_system"),
-        F.concat(F.lit("batch_"), week.cast("string")).alias("batch_id"),
+    undated = "event_type IN ('click', 'signup')"
+    street, begin, end = "concat('Street ', k % 5)", "concat('Avenue ', k % 5)", "concat('Avenue 1', k % 5)"
+    week = "date(date_trunc('week', ts))"
+    entries = _events(spark, sf_dir).selectExpr(
+        f"{_choose('user_id % 6', [s[0] for s in SECTIONS])} AS section_id",
+        f"{_choose('user_id % 6', [s[1] for s in SECTIONS])} AS section_name",
+        "concat('Location ', user_id) AS location_name",
+        "CASE WHEN k = 87 THEN NULL WHEN event_type = 'purchase' THEN 'event' ELSE 'construction' END AS entry_type",
+        "CASE event_type WHEN 'click' THEN 'Route' WHEN 'signup' THEN 'Formation' END AS detail_label",
+        f"if({undated}, concat({street}, ' between ', {begin}, ' and ', {end}), concat(event_type, ' work ', k % 5)) AS advisory_text",
+        f"if({undated}, {street}, NULL) AS street_name",
+        f"if({undated}, {begin}, NULL) AS from_street",
+        f"if({undated}, {end}, NULL) AS to_street",
+        f"if({undated}, NULL, string(date(ts))) AS date_first_mentioned",
+        f"if({undated}, NULL, string(date_add(date(ts), if(k = 86, -1, k % 4)))) AS date_last_mentioned",
+        f"if({undated}, 0, 2) AS n_dates_mentioned",
+        f"string({week}) AS advisory_week_start",
+        f"string(date_add({week}, 6)) AS advisory_week_end",
+        "'' AS advisory_week_text",
+        "'https://example.org/advisories' AS source_url",
+        "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS scraped_at_iso",
+        f"string({week}) AS scrape_date",
+        "'advisory_feed' AS source_system",
+        f"concat('batch_', {week}) AS batch_id",
     )
     return entries.withColumn("advisory_sk", sighting_key())
 

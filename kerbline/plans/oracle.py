@@ -303,7 +303,7 @@ BLOCKS["carried"] = (("numbered",), rf"""
          LAST_VALUE(CASE WHEN is_label THEN regexp_extract(text, '{_LABEL_PATTERN}', 1) END IGNORE NULLS)
            OVER (PARTITION BY page_id, section_no, location_no ORDER BY pos ROWS UNBOUNDED PRECEDING) AS open_label,
          CASE WHEN SUM(CASE WHEN is_marker THEN 1 ELSE 0 END)
-           OVER (PARTITION BY page_id, section_no ORDER BY pos ROWS UNBOUNDED PRECEDING) > 0
+           OVER (PARTITION BY page_id, section_no ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0
            THEN 'event' ELSE 'construction' END AS entry_type
   FROM numbered WHERE section_no > 0""")
 BLOCKS["placed"] = (("carried",), "SELECT * FROM carried WHERE location_no > 0 AND NOT is_location")
