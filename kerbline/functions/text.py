@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from kerbline.functions.numeric import as_column
@@ -97,8 +95,6 @@ def strip_hidden(html: Column | str) -> Column:
 def decode_entities(text: Column | str) -> Column:
     """Common named and all numeric character references, ``&amp;`` last."""
     text = as_column(text)
-    decimals = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7});"), 1))
-    hexes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)&#x([0-9a-f]{1,6});"), 1))
 
     def char(code_hex: Column) -> Column:
         # Code points beyond Unicode, and NUL, are shown as U+FFFD like browsers do.
@@ -106,25 +102,28 @@ def decode_entities(text: Column | str) -> Column:
         usable = (wide > "00000000") & (F.upper(wide) <= "0010FFFF")
         return F.decode(F.unhex(F.when(usable, wide).otherwise("0000FFFD")), "UTF-32")
 
+    decimals = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7});"), 1))
     numeric = F.aggregate(
         decimals, text,
         lambda acc, code: F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), char(F.hex(code.cast("long")))),
     )
+    hexes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([xX][0-9a-fA-F]{1,6});"), 1))
     numeric = F.aggregate(
         hexes, numeric,
-        lambda acc, code: F.regexp_replace(
-            acc, F.concat(F.lit("(?i)&#x"), code, F.lit(";")), F.regexp_replace(char(code), r"([\\$])", r"\\$1")
-        ),
+        lambda acc, code: F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), char(F.substring(code, 2, 6))),
     )
-    # Most pages use named references only; the folds above are skipped for them.
-    decoded = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
-    named = reduce(
-        lambda acc, item: F.replace(acc, F.lit(item[0]), F.lit(item[1])), NAMED_ENTITIES.items(), decoded
-    )
-    return F.replace(named, F.lit("&amp;"), F.lit("&"))
+    # Few texts hold numeric references, and many no reference at all.
+    named = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
+    for entity, plain in NAMED_ENTITIES.items():
+        named = F.replace(named, F.lit(entity), F.lit(plain))
+    return F.when(F.contains(text, F.lit("&")), F.replace(named, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+
+
+def one_line(text: Column | str) -> Column:
+    """Text with references decoded and every run of blanks collapsed to one."""
+    return F.trim(F.regexp_replace(decode_entities(text), r"[\s\x{00A0}]+", " "))
 
 
 def visible_text(markup: Column | str) -> Column:
-    """Markup fragment to one line of text: tags become blanks, blanks collapse."""
-    no_tags = F.regexp_replace(as_column(markup), r"<[^>]*>", " ")
-    return F.trim(F.regexp_replace(decode_entities(no_tags), r"[\s\x{00A0}]+", " "))
+    """Markup fragment to one line of text: tags become blanks."""
+    return one_line(F.regexp_replace(as_column(markup), r"<[^>]*>", " "))

@@ -21,15 +21,14 @@ from kerbline.functions.text import (
     NOTE_PREFIX,
     WEEK_HEADER,
     date_mentions,
-    decode_entities,
     field_label,
     first_mention,
     has_segment,
     is_event_marker,
     last_mention,
+    one_line,
     split_segment,
     strip_hidden,
-    visible_text,
 )
 
 BLOCK_TAGS = ("h2", "h3", "h4", "strong", "p", "li")
@@ -41,6 +40,9 @@ _CLOSERS = "ul|ol|dl|div|article|section|nav|header|footer|main|aside|table|form
 _NEXT_BLOCK = rf"<(?:{_OPENERS})\b|</(?:{_CLOSERS})\b"
 
 
+_ID_ATTRIBUTE = r"""(?i)\sid\s*=\s*["']?([^"'\s>]+)"""
+
+
 def _block_pattern(tags: Sequence[str]) -> str:
     names = "|".join(tags)
     return rf"(?is)<({names})\b([^>]*)>(.*?)(?=</\1\s*>|{_NEXT_BLOCK}|\z)"
@@ -51,24 +53,26 @@ def block_array(html: Column | str, tags: Sequence[str] = BLOCK_TAGS) -> Column:
 
     Matches do not overlap, so a ``strong`` inside a paragraph belongs to the paragraph.
     """
-    pattern = _block_pattern(tags)
-    raw = F.regexp_extract_all(strip_hidden(html), F.lit(pattern), 0)
-
-    def block(hit: Column, i: Column) -> Column:
-        attributes = F.regexp_extract(hit, pattern, 2)
-        return F.struct(
+    raw = F.regexp_extract_all(strip_hidden(html), F.lit(_block_pattern(tags)), 0)
+    # Each step is its own transform, so that what it computes is computed once however
+    # often the next step mentions it.
+    parts = F.transform(
+        raw,
+        lambda hit: F.struct(
+            F.lower(F.regexp_extract(hit, "^<([A-Za-z0-9]+)", 1)).alias("tag"),
+            F.regexp_extract(hit, "^<[^>]*>", 0).alias("opening"),
+            F.regexp_replace(F.regexp_replace(hit, "^<[^>]*>", ""), "<[^>]*>", " ").alias("body"),
+        ),
+    )
+    return F.transform(
+        parts,
+        lambda part, i: F.struct(
             i.alias("pos"),
-            F.lower(F.regexp_extract(hit, pattern, 1)).alias("tag"),
-            F.nullif(
-                decode_entities(
-                    F.regexp_extract(attributes, r"""(?i)(?:^|\s)id\s*=\s*["']?([^"'\s>]+)""", 1)
-                ),
-                F.lit(""),
-            ).alias("block_id"),
-            visible_text(F.regexp_extract(hit, pattern, 3)).alias("text"),
-        )
-
-    return F.transform(raw, block)
+            part["tag"].alias("tag"),
+            F.nullif(F.regexp_extract(part["opening"], _ID_ATTRIBUTE, 1), F.lit("")).alias("block_id"),
+            one_line(part["body"]).alias("text"),
+        ),
+    )
 
 
 def page_blocks(pages: DataFrame, tags: Sequence[str] = BLOCK_TAGS, html: str = "html") -> DataFrame:
@@ -90,18 +94,20 @@ def _cut(blocks: Column, starts_group: Callable[[Column], Column]) -> Column:
     starts = F.filter(
         F.transform(blocks, lambda b, i: F.when(starts_group(b), i)), lambda i: i.isNotNull()
     )
-
-    def group(head: Column | None, begin: Column, end: Column) -> Column:
-        return F.struct(
-            (F.get(blocks, head) if head is not None else F.get(blocks, F.lit(-1))).alias("head"),
-            F.slice(blocks, begin + 1, F.greatest(end - begin, F.lit(0))).alias("body"),
-        )
-
-    first = F.array(group(None, F.lit(0), F.coalesce(F.get(starts, F.lit(0)), n)))
-    rest = F.transform(
-        starts, lambda s, j: group(s, s + 1, F.coalesce(F.get(starts, j + 1), n))
+    # Boundaries including a virtual heading in front of the page and its end; bound to
+    # a one-element array so that they are found once.
+    bounds = F.concat(F.array(F.lit(-1)), starts, F.array(n))
+    groups = F.transform(
+        F.array(bounds),
+        lambda at: F.transform(
+            F.slice(at, 1, F.size(at) - 1),
+            lambda begin, j: F.struct(
+                F.get(blocks, begin).alias("head"),
+                F.slice(blocks, begin + 2, F.get(at, j + 1) - begin - 1).alias("body"),
+            ),
+        ),
     )
-    return F.concat(first, rest)
+    return F.get(groups, F.lit(0))
 
 
 def _is_section(b: Column, tag: str) -> Column:

@@ -79,7 +79,8 @@ def fact_trip(trips: DataFrame, min_minutes: float = 1.0, max_minutes: float = 1
         F.expr(f"hour({DROPOFF}) AS dropoff_hour"),
         "passenger_count",
         "trip_distance",
-        F.expr(f"{rounded(minutes)} AS trip_duration_min"),
+        # Whole seconds over 60 are never half way between two hundredths.
+        F.expr(f"rint({minutes} * 100) / 100 AS trip_duration_min"),
         "fare_amount",
         "total_amount",
     )

@@ -125,6 +125,26 @@ def publish_version(
     return spark.table(name)
 
 
+def append_new(batch: DataFrame, name: str, key: str, partition: str) -> DataFrame:
+    """Append the batch rows whose key the table lacks; held rows are never rewritten.
+
+    The table is created, partitioned, on first use. ``partition`` is the batch column
+    that is also part of the key, so only partitions in the range of the batch are read
+    to look for held keys. Running a batch again appends nothing.
+    """
+    spark = batch.sparkSession
+    if not spark.catalog.tableExists(name):
+        batch.limit(0).write.format("parquet").partitionBy(partition).saveAsTable(name)
+    held = spark.table(name)
+    bounds = batch.agg(F.min(partition).alias("lo"), F.max(partition).alias("hi"))
+    in_range = held.filter(
+        (F.col(partition) >= bounds.select("lo").scalar()) & (F.col(partition) <= bounds.select("hi").scalar())
+    )
+    fresh = batch.join(in_range.select(key), key, "left_anti").select(*held.columns)
+    fresh.write.mode("append").format("parquet").partitionBy(partition).saveAsTable(name)
+    return spark.table(name)
+
+
 def require_rows(df: DataFrame, message: str) -> DataFrame:
     """Abort the load when a batch is empty; looks at one row only."""
     if df.isEmpty():
