@@ -256,27 +256,23 @@ def extract_page_entries(
 def page_shape(pages: DataFrame, page_key: str = "page_id", html: str = "html") -> DataFrame:
     """Per page: sections, locations, entries, split segments and the advisory week.
 
-    Pages without a single entry are reported with zeros, so a markup change shows.
+    Pages without a single entry are reported with zeros, so a markup change shows. One
+    shuffle of a few short columns; page texts stay where they are read.
     """
-    sections = with_section(with_week(page_blocks(pages.select(page_key, html), html=html)))
-    section_counts = sections.groupBy(page_key).agg(F.count(F.lit(1)).alias("sections"))
-    entry_counts = (
-        extract_page_entries(pages.select(page_key, html), html=html)
-        .groupBy(page_key)
-        .agg(
-            F.countDistinct("location_name").alias("locations"),
-            F.count(F.lit(1)).alias("entries"),
-            F.count("from_street").alias("segments_split"),
-        )
+    narrow = pages.select(page_key, html)
+    per_page = with_week(page_blocks(narrow, html=html)).select(
+        page_key,
+        (F.size(_cut(F.col("blocks"), lambda b: _is_section(b, "h2"))) - 1).alias("sections"),
+        "advisory_week_start", "advisory_week_end",
+        F.lit(None).cast("string").alias("location_name"),
+        F.lit(None).cast("string").alias("from_street"),
     )
-    weeks = with_week(page_blocks(pages.select(page_key, html), tags=("h2",), html=html)).drop("blocks")
-    return (
-        weeks.join(section_counts, page_key, "left")
-        .join(entry_counts, page_key, "left")
-        .select(
-            page_key,
-            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("sections", "locations", "entries", "segments_split")],
-            F.col("advisory_week_start").alias("week_start"),
-            F.col("advisory_week_end").alias("week_end"),
-        )
+    per_entry = extract_page_entries(narrow, html=html).select(page_key, "location_name", "from_street")
+    return per_page.unionByName(per_entry, allowMissingColumns=True).groupBy(page_key).agg(
+        F.expr("greatest(max(sections), 0) AS sections"),
+        F.expr("count(DISTINCT location_name) AS locations"),
+        F.expr("count(location_name) AS entries"),
+        F.expr("count(from_street) AS segments_split"),
+        F.expr("max(advisory_week_start) AS week_start"),
+        F.expr("max(advisory_week_end) AS week_end"),
     )

@@ -148,7 +148,8 @@ def advisories_by_day(advisory: DataFrame, first_day: Column, last_day: Column,
 
 
 def advisory_impact(
-    fact: DataFrame, zone: DataFrame, advisory: DataFrame, inclusive_end: bool = False
+    fact: DataFrame, zone: DataFrame, advisory: DataFrame, inclusive_end: bool = False,
+    days: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Trips, mean duration and mean total per borough and type of the advisory in force.
 
@@ -158,7 +159,8 @@ def advisory_impact(
 
     The range join is replaced by an equi-join: the advisory depends on borough, day and
     on whether the pickup is at midnight sharp, so trips are first reduced to those and
-    meet a per-day lookup of at most one row each.
+    meet a per-day lookup of at most one row each. ``days`` are the first and last day
+    on which pickups can fall; they are looked up in the fact when not given.
     """
     trips = fact.groupBy("pu_location_id", "do_location_id", "pickup_datetime", "dropoff_datetime").agg(
         F.min(F.struct("total_amount", "trip_duration_min")).alias("_t")
@@ -175,10 +177,12 @@ def advisory_impact(
     boroughs = zone.select(
         F.col("location_id").alias("pu_location_id"), "borough", F.lower(F.trim("borough")).alias("_borough_key")
     )
-    span = fact.agg(F.min("pickup_datetime").cast("date").alias("lo"), F.max("pickup_datetime").cast("date").alias("hi"))
-    lookup = advisories_by_day(
-        advisory, span.select("lo").scalar(), span.select("hi").scalar(), inclusive_end
-    )
+    if days is None:
+        span = fact.selectExpr("date(pickup_datetime) AS d").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+        first, last = span.select("lo").scalar(), span.select("hi").scalar()
+    else:
+        first, last = (F.lit(d).cast("date") for d in days)
+    lookup = advisories_by_day(advisory, first, last, inclusive_end)
     chosen = F.when(F.col("_midnight"), F.col("at_midnight")).otherwise(F.col("in_day"))
     return (
         by_day.join(boroughs, "pu_location_id")

@@ -9,25 +9,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.operators.quality import RESULT_COLUMNS
 
-#: Older result tables spell a passed uniqueness check this way.
-_STATUS_SPELLING = {"PASSED": "PASS", "FAILED": "FAIL"}
+#: One vocabulary: capitalised dimensions, and PASS/FAIL for the longer spellings that
+#: older result tables hold.
+_SHAPE = (
+    "`column`", "initcap(data_quality_check) AS data_quality_check", "failed_rows", "total_rows", "percentage",
+    "CASE upper(status) WHEN 'PASSED' THEN 'PASS' WHEN 'FAILED' THEN 'FAIL' ELSE upper(status) END AS status",
+)
 
 
 def unify(results: Mapping[str, DataFrame]) -> DataFrame:
-    """Result tables as one with a ``dataset`` label, in one vocabulary.
-
-    Columns match whatever their case; dimensions are capitalised and statuses mapped to
-    PASS, WARN and FAIL, so that rollups do not split one group in two.
-    """
-
-    def shaped(dataset: str, df: DataFrame) -> DataFrame:
-        state = F.upper("status")
-        for old, new in _STATUS_SPELLING.items():
-            state = F.when(state == old, new).otherwise(state)
-        normal = df.withColumns({"data_quality_check": F.initcap("data_quality_check"), "status": state})
-        return normal.select(F.lit(dataset).alias("dataset"), *[F.col(c).alias(c) for c in RESULT_COLUMNS])
-
-    return reduce(DataFrame.unionByName, [shaped(name, df) for name, df in results.items()])
+    """Result tables as one with a ``dataset`` label, in one vocabulary, so that rollups
+    do not split one group in two. Columns match whatever their case."""
+    shaped = [
+        df.selectExpr(f"'{dataset}' AS dataset", *_SHAPE).toDF("dataset", *RESULT_COLUMNS)
+        for dataset, df in results.items()
+    ]
+    return reduce(DataFrame.unionByName, shaped)
+
+
+def unified_query(stored: Mapping[str, str]) -> str:
+    """SQL text of :func:`unify` over stored result tables, for a stored view."""
+    return " UNION ALL ".join(
+        f"SELECT '{dataset}' AS dataset, {', '.join(_SHAPE)} FROM {table}" for dataset, table in stored.items()
+    )
 
 
 def severity_rank() -> Column:

@@ -583,7 +583,8 @@ WHERE pos = 1 GROUP BY borough, picked_type"""
 
 @query("BI-4_advisory_impact", o.statement(_advisory_sql("<= a.effective_to"), "fact", "dim_zone", "dim_advisory"))
 def advisory_impact(spark, sf_dir):
-    return bi.advisory_impact(feeds.fact(spark, sf_dir), feeds.zone_dim(spark, sf_dir), feeds.advisory_dim(spark, sf_dir))
+    return bi.advisory_impact(
+        feeds.fact(spark, sf_dir), feeds.zone_dim(spark, sf_dir), feeds.advisory_dim(spark, sf_dir), days=feeds.WINDOW)
 
 
 @query("BI-4_advisory_impact_whole_days", o.statement(

@@ -61,6 +61,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _computed_once(df: DataFrame, *columns: str) -> DataFrame:
+    """Project ``columns`` ("expression AS name") so that each is computed once per row.
+
+    Filters on a plain projection are pushed below it with every mention replaced by the
+    whole expression. A one-row generator is not looked through; stored tables, whose
+    columns these adapters stand for, need nothing of the kind.
+    """
+    return df.selectExpr(f"inline(array(struct({', '.join(columns)})))")
+
+
 # --- zones ------------------------------------------------------------------------------
 
 
@@ -88,7 +98,8 @@ def trips_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE k WHEN 99 THEN -3600 WHEN 98 THEN 60 WHEN 96 THEN 59 WHEN 95 THEN 86400 WHEN 94 THEN 86401 "
         "ELSE cents * (k % 5) END"
     )
-    return _events(spark, sf_dir).selectExpr(
+    return _computed_once(
+        _events(spark, sf_dir),
         "CASE event_type WHEN 'view' THEN 1L WHEN 'signup' THEN 7L WHEN 'error' THEN 6L ELSE 2L END AS VendorID",
         "if(k <> 97, t, NULL) AS lpep_pickup_datetime",
         f"if(k <> 88, timestampadd(SECOND, {seconds}, t), NULL) AS lpep_dropoff_datetime",

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from kerbline.operators import bi, clean, history as hist, mart, profile, rollup, rules
-from kerbline.operators.dedup import union_by_name
 from kerbline.sources import tables
 
 # --- fixed values: stored table names -------------------------------------------------
@@ -105,7 +104,7 @@ class Layers:
             bi.top_pickup_zones(fact, zone),
             bi.temporal_patterns(fact, date),
             bi.weather_impact(fact, weather),
-            bi.advisory_impact(fact, zone, advisory),
+            bi.advisory_impact(fact, zone, advisory, days=(self.window_start, self.window_end)),
             bi.kpi_summary(fact),
         )))
 
@@ -128,11 +127,10 @@ class Layers:
             "Taxi Zones": rules.zone_checks(self.table(RAW_ZONES), self.table(CLEAN_ZONES)),
             "Traffic Advisory": rules.advisory_checks(self.table(RAW_ADVISORY), self.table(CLEAN_ADVISORY)),
         }
-        stored = {
-            dataset: tables.write_table(df, self.name(f"validation.{VALIDATION[dataset]}"))
-            for dataset, df in results.items()
-        }
-        return tables.register_view(rollup.unify(stored), self.name(CLEAN_QUALITY).replace(".", "_"))
+        names = {dataset: self.name(f"validation.{table}") for dataset, table in VALIDATION.items()}
+        for dataset, df in results.items():
+            tables.write_table(df, names[dataset])
+        return tables.create_view(self.spark, self.name(CLEAN_QUALITY), rollup.unified_query(names))
 
     def validate_mart(self) -> DataFrame:
         dims = {dim: self.table(f"mart.{dim}") for dim in DIMS}
@@ -156,7 +154,3 @@ class Layers:
         self.validate_clean()
         self.validate_mart()
 
-
-def combined_months(layers: Layers, months: list[str]) -> DataFrame:
-    """The stored monthly trip tables as one frame."""
-    return union_by_name([layers.table(m) for m in months])

@@ -99,6 +99,12 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def create_view(spark: SparkSession, name: str, query: str) -> DataFrame:
+    """Create or replace a stored view over stored tables."""
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS {query}")
+    return spark.table(name)
+
+
 def _versions(spark: SparkSession, name: str) -> list[int]:
     schema, _, table = name.rpartition(".")
     listed = spark.catalog.listTables(schema or None, f"{table}__v*")
