@@ -269,7 +269,7 @@ def page_shape(pages: DataFrame, page_key: str = "page_id", html: str = "html")
     )
     per_entry = extract_page_entries(narrow, html=html).select(page_key, "location_name", "from_street")
     return per_page.unionByName(per_entry, allowMissingColumns=True).groupBy(page_key).agg(
-        F.expr("greatest(max(sections), 0) AS sections"),
+        F.expr("bigint(greatest(max(sections), 0)) AS sections"),
         F.expr("count(DISTINCT location_name) AS locations"),
         F.expr("count(location_name) AS entries"),
         F.expr("count(from_street) AS segments_split"),

@@ -85,7 +85,7 @@ BLOCKS["zones"] = (("zones_raw",), f"""
 BLOCKS["dim_zone"] = (("zones",), "SELECT * FROM zones WHERE location_id IS NOT NULL")
 
 BLOCKS["trips_raw"] = (("ev",), """
-  SELECT CASE event_type WHEN 'view' THEN 1 WHEN 'signup' THEN 7 WHEN 'error' THEN 6 ELSE 2 END AS VendorID,
+  SELECT CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'signup' THEN 7 WHEN 'error' THEN 6 ELSE 2 END AS BIGINT) AS VendorID,
          CASE WHEN k <> 97 THEN t END AS lpep_pickup_datetime,
          CASE WHEN k <> 88 THEN t + to_seconds(CASE k WHEN 99 THEN -3600 WHEN 98 THEN 60 WHEN 96 THEN 59
               WHEN 95 THEN 86400 WHEN 94 THEN 86401 ELSE cents * (k % 5) END) END AS lpep_dropoff_datetime,
