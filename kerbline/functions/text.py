@@ -10,6 +10,8 @@ from kerbline.functions.numeric import as_column
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August",
           "September", "October", "November", "December")
 FIELD_LABELS = ("Location(s)", "Route", "Formation", "Dispersal", "Miscellaneous")
+DATE_IN_PROSE = rf"(?i)({'|'.join(MONTHS)})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})"
+STREET_SEGMENT = r"(?i)^(.+?)\s+between\s+(.+?)\s+and\s+(.+?)$"
 EVENT_MARKER = r"(?i)^Festivals?,?\s*Parades and Events$"
 WEEK_HEADER = "Weekly Traffic Advisory for"
 NOTE_PREFIX = "*Note"
@@ -17,24 +19,20 @@ MAX_HEADING_LENGTH = 150
 NAMED_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 # ----------------------------------------------------------------------------------
 
-_DATE = rf"(?i)({'|'.join(MONTHS)})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})"
-_SEGMENT = r"(?i)^(.+?)\s+between\s+(.+?)\s+and\s+(.+?)$"
-
-
 def date_mentions(text: Column | str) -> Column:
     """Every date named in prose ("September 12th, 2026") in order, as ``array<date>``.
 
     Spelling of the month is case-insensitive; days the calendar lacks are left out.
     """
-    found = F.regexp_extract_all(as_column(text), F.lit(_DATE), 0)
+    found = F.regexp_extract_all(as_column(text), F.lit(DATE_IN_PROSE), 0)
     parsed = F.transform(
         found,
         lambda hit: F.try_to_date(
             F.concat_ws(
                 " ",
-                F.initcap(F.regexp_extract(hit, _DATE, 1)),
-                F.regexp_extract(hit, _DATE, 2),
-                F.regexp_extract(hit, _DATE, 3),
+                F.initcap(F.regexp_extract(hit, DATE_IN_PROSE, 1)),
+                F.regexp_extract(hit, DATE_IN_PROSE, 2),
+                F.regexp_extract(hit, DATE_IN_PROSE, 3),
             ),
             "MMMM d yyyy",
         ),
@@ -57,10 +55,10 @@ def split_segment(text: Column | str) -> Column:
     that does not split is kept whole as the street.
     """
     text = as_column(text)
-    splits = text.rlike(_SEGMENT)
+    splits = text.rlike(STREET_SEGMENT)
 
     def part(i: int) -> Column:
-        return F.when(splits, F.trim(F.regexp_extract(text, _SEGMENT, i)))
+        return F.when(splits, F.trim(F.regexp_extract(text, STREET_SEGMENT, i)))
 
     return F.struct(
         F.coalesce(part(1), text).alias("street"),
@@ -70,7 +68,7 @@ def split_segment(text: Column | str) -> Column:
 
 
 def has_segment(text: Column | str) -> Column:
-    return as_column(text).rlike(_SEGMENT)
+    return as_column(text).rlike(STREET_SEGMENT)
 
 
 def field_label(text: Column | str) -> Column:

@@ -227,9 +227,9 @@ def week(spark, sf_dir):
 
 
 @query("TXT-9_segments", o.statement(f"""
-SELECT page_id, pos, CASE WHEN {o._split} THEN trim(regexp_extract(text, '{o._SEGMENT}', 1)) ELSE text END AS street,
-       CASE WHEN {o._split} THEN trim(regexp_extract(text, '{o._SEGMENT}', 2)) END AS from_street,
-       CASE WHEN {o._split} THEN trim(regexp_extract(text, '{o._SEGMENT}', 3)) END AS to_street
+SELECT page_id, pos, CASE WHEN {o._split} THEN trim(regexp_extract(text, '{o.STREET_SEGMENT}', 1)) ELSE text END AS street,
+       CASE WHEN {o._split} THEN trim(regexp_extract(text, '{o.STREET_SEGMENT}', 2)) END AS from_street,
+       CASE WHEN {o._split} THEN trim(regexp_extract(text, '{o.STREET_SEGMENT}', 3)) END AS to_street
 FROM blocks WHERE tag = 'li'""", "blocks"))
 def segments(spark, sf_dir):
     items = text.exploded_blocks(text.page_blocks(feeds.pages_marked(spark, sf_dir)), "page_id").filter("tag = 'li'")

@@ -7,7 +7,7 @@ functions and one UNION branch per check, none of the rewrites the operators use
 
 from __future__ import annotations
 
-from kerbline.functions.text import FIELD_LABELS, MAX_HEADING_LENGTH, MONTHS
+from kerbline.functions.text import DATE_IN_PROSE, FIELD_LABELS, MAX_HEADING_LENGTH, STREET_SEGMENT
 from kerbline.operators import rules as r
 from kerbline.plans.feeds import AS_OF, BOROUGH_OF_REGION, NOW, ODD_ZONES, PLACES, SECTIONS, TODAY, WINDOW
 
@@ -283,7 +283,6 @@ BLOCKS["blocks"] = (("page_pieces",), rf"""
         FROM (SELECT *, lower(regexp_extract(piece, '^<([A-Za-z0-9]+)', 1)) AS tag FROM page_pieces))""")
 _LABELS = "|".join(label.replace("(", r"\(").replace(")", r"\)") for label in FIELD_LABELS)
 _LABEL_PATTERN = rf"(?i)^({_LABELS})\s*:\s*$"
-_SEGMENT = r"(?i)^(.+?)\s+between\s+(.+?)\s+and\s+(.+?)$"
 _noise = "(text = '' OR text LIKE '*Note%')"
 _marker = r"regexp_matches(text, '(?i)^Festivals?,?\s*Parades and Events$')"
 BLOCKS["numbered"] = (("blocks",), rf"""
@@ -311,8 +310,7 @@ BLOCKS["placed"] = (("carried",), "SELECT * FROM carried WHERE location_no > 0 A
 
 def dates_in(text: str) -> str:
     """List of the valid dates a text names."""
-    months = "|".join(MONTHS)
-    pattern = rf"(?i)({months})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})"
+    pattern = DATE_IN_PROSE
     parts = [f"regexp_extract(m, '{pattern}', {i})" for i in (1, 2, 3)]
     return (
         f"list_filter(list_transform(regexp_extract_all({text}, '{pattern}', 0), lambda m: "
@@ -327,13 +325,13 @@ BLOCKS["weeks"] = (("blocks",), f"""
   FROM pages p LEFT JOIN (
     SELECT page_id, text FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM blocks
       WHERE tag = 'h2' AND contains(text, 'Weekly Traffic Advisory for')) WHERE rn = 1) h ON p.page_id = h.page_id""")
-_split = f"regexp_matches(text, '{_SEGMENT}')"
+_split = f"regexp_matches(text, '{STREET_SEGMENT}')"
 BLOCKS["page_entries"] = (("placed", "weeks"), f"""
   SELECT c.page_id, url, pos, section_id, section_name, location_name, entry_type,
          CASE WHEN tag = 'li' THEN open_label END AS detail_label, text AS advisory_text,
-         CASE WHEN tag = 'li' THEN CASE WHEN {_split} THEN trim(regexp_extract(text, '{_SEGMENT}', 1)) ELSE text END END AS street_name,
-         CASE WHEN tag = 'li' AND {_split} THEN trim(regexp_extract(text, '{_SEGMENT}', 2)) END AS from_street,
-         CASE WHEN tag = 'li' AND {_split} THEN trim(regexp_extract(text, '{_SEGMENT}', 3)) END AS to_street,
+         CASE WHEN tag = 'li' THEN CASE WHEN {_split} THEN trim(regexp_extract(text, '{STREET_SEGMENT}', 1)) ELSE text END END AS street_name,
+         CASE WHEN tag = 'li' AND {_split} THEN trim(regexp_extract(text, '{STREET_SEGMENT}', 2)) END AS from_street,
+         CASE WHEN tag = 'li' AND {_split} THEN trim(regexp_extract(text, '{STREET_SEGMENT}', 3)) END AS to_street,
          CASE WHEN tag = 'p' THEN strftime(d[1], '%Y-%m-%d') END AS date_first_mentioned,
          CASE WHEN tag = 'p' THEN strftime(d[-1], '%Y-%m-%d') END AS date_last_mentioned,
          CASE WHEN tag = 'p' THEN CAST(len(d) AS INTEGER) ELSE 0 END AS n_dates_mentioned,
