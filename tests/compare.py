@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import tempfile
 from pathlib import Path
 
 import duckdb
@@ -15,6 +16,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def connect(sf_dir: str):
     con = duckdb.connect()
+    # Whatever it spills belongs outside the repository.
+    con.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='kerbline-sql-')}'")
     for name in TABLES:
         if Path(f"{sf_dir}/{name}.parquet").exists():
             con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
