@@ -142,6 +142,23 @@ def view(spark, sf_dir):
     return spark.sql("SELECT pickup_hour, COUNT(*) AS trips FROM kerbline_fact_view GROUP BY pickup_hour")
 
 
+@query("SNK-4_ensure_table", "SELECT * FROM orders")
+def ensure_table(spark, sf_dir):
+    """An empty table made from the schema of a query takes exactly that query's rows."""
+    run = f"kerbline_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark, '/tmp/kerbline-tables')}/{run}"
+    orders = feeds.table(spark, sf_dir, "orders")
+    tables.ensure_table_like(orders, run, path)
+    orders.write.insertInto(run)
+    return tables.ensure_table_like(orders, run, path)
+
+
+@query("SNK-7_row_guard", "SELECT o_orderstatus, COUNT(*) AS orders FROM orders GROUP BY o_orderstatus")
+def row_guard(spark, sf_dir):
+    orders = tables.require_rows(feeds.table(spark, sf_dir, "orders"), "no orders landed")
+    return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"))
+
+
 @query("SNK-6_load_report", o.statement("""
 SELECT batch_id, COUNT(*) AS rows_loaded, MIN(scraped_at_iso) AS first_time, MAX(scraped_at_iso) AS last_time
 FROM advisories GROUP BY batch_id""", "advisories"))

@@ -44,16 +44,17 @@ def ensure_schemas(spark: SparkSession, layers: Sequence[str] = LAYERS, prefix:
     return names
 
 
-def ensure_table(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
+def ensure_table(spark: SparkSession, name: str, schema: T.StructType, path: str | None = None) -> DataFrame:
     """Create an empty Parquet table with this schema (and its column comments) if absent."""
     if not spark.catalog.tableExists(name):
-        spark.createDataFrame([], schema).write.format("parquet").saveAsTable(name)
+        writer = spark.createDataFrame([], schema).write.format("parquet")
+        (writer.option("path", path) if path else writer).saveAsTable(name)
     return spark.table(name)
 
 
-def ensure_table_like(df: DataFrame, name: str) -> DataFrame:
+def ensure_table_like(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Create an empty table with the schema of a query if absent."""
-    return ensure_table(df.sparkSession, name, df.schema)
+    return ensure_table(df.sparkSession, name, df.schema, path)
 
 
 def write_table(

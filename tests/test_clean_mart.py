@@ -242,3 +242,14 @@ def test_lookup_join_both_ways(spark, max_rows):
     assert records(got, "id", "k", "v") == records(facts.join(lookup, "k", "left"), "id", "k", "v")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert ("Broadcast" in plan) or max_rows == 1
+
+
+def test_hot_key_leaves_the_map_side_as_one_row(spark):
+    """A third of the trips in one zone pair: what is shuffled is one row per pair and task."""
+    rides = [ride(day(5, 10), pu=1 if i % 3 else 2, do=1) for i in range(900)]
+    fact = spark.createDataFrame(rides, FACT).repartition(4)
+    zones = spark.createDataFrame([(1, "Bronx", "A", "b"), (2, "Queens", "B", "b")], ZONE)
+    flows = bi.borough_flows(fact, zones)
+    plan = flows._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "partial_sum" in plan
+    assert records(flows, "pickup_borough", "total_trips") == [("Bronx", 600), ("Queens", 300)]
