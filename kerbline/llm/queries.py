@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import simhash
+from kerbline.llm import entropy_mix, simhash
 from kerbline.llm.common import documents
 
 
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.mix(documents(spark, sf_dir))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 #: name -> (query, SQL or None)
 CATALOG = {
+    "op1_entropy_mix": (source_mix, None),
     "op3_simhash_near_duplicates": (near_duplicates, None),
 }
