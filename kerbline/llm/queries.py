@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import entropy_mix, simhash
+from kerbline.llm import decontaminate, entropy_mix, simhash
 from kerbline.llm.common import documents
 
 
@@ -16,8 +16,43 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+#: Windows of items and of documents as word lists, joined; positions of hits are then distinct.
+BENCHMARK_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT row_number() OVER () AS k, CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+item_window AS (
+  SELECT DISTINCT k, item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM (SELECT k, item_id, w, least(13, len(w)) AS m, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS i
+        FROM item WHERE len(w) > 0)),
+doc_window AS (
+  SELECT r, i, m, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM (SELECT r, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i
+        FROM doc, (SELECT DISTINCT m FROM item_window) WHERE len(w) >= m)),
+hit AS (SELECT r, i, m, k, item_id FROM doc_window JOIN item_window USING (m, s)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + m - 1)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT r, k, item_id FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
+       sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
 #: name -> (query, SQL or None)
 CATALOG = {
     "op1_entropy_mix": (source_mix, None),
     "op3_simhash_near_duplicates": (near_duplicates, None),
+    "op5_benchmark_hits": (benchmark_hits, BENCHMARK_SQL),
 }
