@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import decontaminate, entropy_mix, simhash
+from kerbline.llm import chunk_fingerprint, decontaminate, entropy_mix, simhash
 from kerbline.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(documents(spark, sf_dir))
 
 
+def chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_fingerprint.with_next(documents(spark, sf_dir))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 #: name -> (query, SQL or None)
 CATALOG = {
     "op1_entropy_mix": (source_mix, None),
+    "op2_chunk_fingerprints": (chunk_fingerprints, None),
     "op3_simhash_near_duplicates": (near_duplicates, None),
     "op5_benchmark_hits": (benchmark_hits, BENCHMARK_SQL),
 }
