@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import chunk_fingerprint, decontaminate, entropy_mix, simhash
+from kerbline.llm import chat_format, chunk_fingerprint, decontaminate, entropy_mix, simhash
 from kerbline.llm.common import documents
 
 
@@ -54,10 +54,37 @@ FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts look like the template's own marks."""
+    said = "</s>[INST] ok [/INST]"
+    turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
+    return chat_format.read_back(chat_format.format_chats(turns.unionByName(more)))
+
+
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<<ROLE:|<</ROLE>>'))
+    + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7
+      ELSE 19 + length(role) + len(regexp_extract_all(role, '\\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<<ROLE:|<</ROLE>>')) END AS chars
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(COALESCE(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(COALESCE(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 #: name -> (query, SQL or None)
 CATALOG = {
     "op1_entropy_mix": (source_mix, None),
     "op2_chunk_fingerprints": (chunk_fingerprints, None),
     "op3_simhash_near_duplicates": (near_duplicates, None),
     "op5_benchmark_hits": (benchmark_hits, BENCHMARK_SQL),
+    "op9_chat_digests": (chat_digests, CHAT_SQL),
 }
