@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import chat_format, chunk_fingerprint, decontaminate, entropy_mix, simhash
+from kerbline.llm import chat_format, chunk_fingerprint, decontaminate, entropy_mix, simhash, warc_zst
 from kerbline.llm.common import documents
 
 
@@ -80,6 +80,25 @@ FROM sized GROUP BY conv_id
 """
 
 
+def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zst.round_trip(documents(spark, sf_dir, "pages"))
+
+
+#: Base32 of a SHA-1 from its hex digits: five of them are four base32 digits.
+WARC_SQL = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS html, sha1(COALESCE(html, '')) AS h FROM pages),
+first AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+digit AS (
+  SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1), '' ORDER BY i, s DESC) AS b32
+  FROM (SELECT h, i, CAST('0x' || substr(h, 5 * i + 1, 5) AS INTEGER) AS v FROM first, range(8) AS r(i)), (VALUES (0), (5), (10), (15)) AS t(s)
+  GROUP BY h)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, b32 AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN first USING (h) JOIN digit USING (h)
+"""
+
+
 #: name -> (query, SQL or None)
 CATALOG = {
     "op1_entropy_mix": (source_mix, None),
@@ -87,4 +106,5 @@ CATALOG = {
     "op3_simhash_near_duplicates": (near_duplicates, None),
     "op5_benchmark_hits": (benchmark_hits, BENCHMARK_SQL),
     "op9_chat_digests": (chat_digests, CHAT_SQL),
+    "op10_warc_archive": (warc_archive, WARC_SQL),
 }
