@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import chat_format, chunk_fingerprint, decontaminate, entropy_mix, simhash, toxicity, warc_zst
+from kerbline.llm import chat_format, chunk_fingerprint, decontaminate, entropy_mix, langid, simhash, toxicity, warc_zst
 from kerbline.llm.common import documents
 
 
@@ -58,6 +58,10 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out(documents(spark, sf_dir))
+
+
 def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts look like the template's own marks."""
     said = "</s>[INST] ok [/INST]"
@@ -110,6 +114,7 @@ CATALOG = {
     "op3_simhash_near_duplicates": (near_duplicates, None),
     "op5_benchmark_hits": (benchmark_hits, BENCHMARK_SQL),
     "op6_toxicity_scores": (toxicity_scores, None),
+    "op7_languages": (languages, None),
     "op9_chat_digests": (chat_digests, CHAT_SQL),
     "op10_warc_archive": (warc_archive, WARC_SQL),
 }
