@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import chat_format, chunk_fingerprint, decontaminate, entropy_mix, langid, simhash, toxicity, warc_zst
+from kerbline.llm import chat_format, chunk_fingerprint, decontaminate, entropy_mix, langid, pseudonyms, simhash, toxicity, warc_zst
 from kerbline.llm.common import documents
 
 
@@ -62,6 +62,15 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out(documents(spark, sf_dir))
 
 
+#: Key of the registered query and the pipeline; a deployment hands in its own.
+PII_KEY = b"kerbline demonstration key"
+
+
+def private_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for the personal data in its text."""
+    return pseudonyms.pseudonymise(documents(spark, sf_dir), PII_KEY, count="n_private")
+
+
 def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts look like the template's own marks."""
     said = "</s>[INST] ok [/INST]"
@@ -115,6 +124,7 @@ CATALOG = {
     "op5_benchmark_hits": (benchmark_hits, BENCHMARK_SQL),
     "op6_toxicity_scores": (toxicity_scores, None),
     "op7_languages": (languages, None),
+    "op8_pseudonyms": (private_values, None),
     "op9_chat_digests": (chat_digests, CHAT_SQL),
     "op10_warc_archive": (warc_archive, WARC_SQL),
 }
