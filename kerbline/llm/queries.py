@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import chat_format, chunk_fingerprint, decontaminate, entropy_mix, langid, pseudonyms, simhash, toxicity, warc_zst
+from kerbline.llm import chat_format, chunk_fingerprint, cotrain_quality, decontaminate, entropy_mix, langid, pseudonyms, simhash, toxicity, warc_zst
 from kerbline.llm.common import documents
 
 
@@ -71,6 +71,10 @@ def private_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(documents(spark, sf_dir), PII_KEY, count="n_private")
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain_quality.rated(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts look like the template's own marks."""
     said = "</s>[INST] ok [/INST]"
@@ -121,6 +125,7 @@ CATALOG = {
     "op1_entropy_mix": (source_mix, None),
     "op2_chunk_fingerprints": (chunk_fingerprints, None),
     "op3_simhash_near_duplicates": (near_duplicates, None),
+    "op4_quality_scores": (quality_scores, None),
     "op5_benchmark_hits": (benchmark_hits, BENCHMARK_SQL),
     "op6_toxicity_scores": (toxicity_scores, None),
     "op7_languages": (languages, None),

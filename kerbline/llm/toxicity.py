@@ -168,19 +168,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Model(place, weight[:-1] * ratio / scale, float(weight[-1]))
 
 
-def regression(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> np.ndarray:
+def regression(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS, weight: np.ndarray | None = None) -> np.ndarray:
     """Logistic regression with a ridge penalty by accelerated gradient steps; the last column is the bias."""
+    share = np.full(len(x), 1 / len(x), np.float32) if weight is None else (weight / weight.sum()).astype(np.float32)
     top = np.ones(x.shape[1], np.float32)
     for _ in range(20):
-        top = x.T @ (x @ top)
+        top = x.T @ (share * (x @ top))
         size = float(np.linalg.norm(top))
         top /= size
-    step = 1 / (0.25 * size / len(x) + penalty)
+    step = 1 / (0.25 * size + penalty)
     free = np.append(np.ones(x.shape[1] - 1, np.float32), 0)
     now = ahead = np.zeros(x.shape[1], np.float32)
     for k in range(steps):
-        miss = 1 / (1 + np.exp(-(x @ ahead))) - y
-        after = (ahead - step * (x.T @ miss / len(x) + penalty * free * ahead)).astype(np.float32)
+        miss = share * (1 / (1 + np.exp(-(x @ ahead))) - y)
+        after = (ahead - step * (x.T @ miss + penalty * free * ahead)).astype(np.float32)
         ahead = (after + k / (k + 3) * (after - now)).astype(np.float32)
         now = after
     return now.astype(np.float64)
