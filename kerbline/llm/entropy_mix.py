@@ -192,5 +192,6 @@ def sample(docs: DataFrame) -> DataFrame:
     numbered = stored(docs.drop("copy").withColumn(row, F.monotonically_increasing_id()), "numbered")
     words = _words(numbered, F.col(row))
     dealt = copies(words, stored(targets(words), "targets")).filter("copies > 0").select(F.col("row").alias(row), F.col("copies").alias("__kerbline_copies"))
-    return numbered.join(stored(dealt, "dealt"), row).withColumn(
+    # Always by a shuffle: the copies table has a row per document and outgrows any broadcast.
+    return numbered.join(stored(dealt, "dealt").hint("merge"), row).withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("__kerbline_copies")))).drop(row, "__kerbline_copies")

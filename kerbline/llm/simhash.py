@@ -298,4 +298,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     placed = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first")
     winners = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return kept.join(stored(winners, "winners"), row, "left_semi").drop(row, mark)
+    # Always by a shuffle: most rows stay, so their ids outgrow any broadcast, and the plan is the same at every size.
+    return kept.join(stored(winners, "winners").hint("merge"), row, "left_semi").drop(row, mark)
