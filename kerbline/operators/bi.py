@@ -116,6 +116,15 @@ def weather_impact(fact: DataFrame, weather: DataFrame) -> DataFrame:
     )
 
 
+#: What tells one trip from another.
+TRIP_IDENTITY = ("pu_location_id", "do_location_id", "pickup_datetime", "dropoff_datetime")
+
+
+def distinct_trips(fact: DataFrame) -> DataFrame:
+    """The identities of the trips; trips equal in both zones and both times count once."""
+    return fact.select(*TRIP_IDENTITY).distinct()
+
+
 def advisories_by_day(advisory: DataFrame, first_day: Column, last_day: Column, inclusive_end: bool = False) -> DataFrame:
     """Which advisory is in force per borough and day, ``first_day`` to ``last_day``.
 
@@ -159,10 +168,15 @@ def advisory_impact(
 
     The range join is replaced by an equi-join: the advisory depends on borough, day and
     on whether the pickup is at midnight sharp, so trips are first reduced to those and
-    meet a per-day lookup of at most one row each. ``days`` are the first and last day
-    on which pickups can fall; they are looked up in the fact when not given.
+    meet a per-day lookup of at most one row each. ``days`` are the first and last day of
+    the pickups asked for (trips without a pickup time stay in); a fact stored by
+    ``pickup_date`` is read for these days only. Without them the span of the fact is
+    looked up.
     """
-    trips = fact.groupBy("pu_location_id", "do_location_id", "pickup_datetime", "dropoff_datetime").agg(
+    if days is not None:
+        day = F.col("pickup_date") if "pickup_date" in fact.columns else F.col("pickup_datetime").cast("date")
+        fact = fact.filter(day.isNull() | day.between(*(F.lit(d).cast("date") for d in days)))
+    trips = fact.groupBy(*TRIP_IDENTITY).agg(
         F.min(F.struct("total_amount", "trip_duration_min")).alias("_t")
     )
     ts = F.col("pickup_datetime")
@@ -249,11 +263,11 @@ def endpoint_weather(
             weather_condition().alias(f"{end}_condition"),
             F.col("temperature_2m").alias(f"{end}_temperature"),
         )
-        located = lookup_join(df, zones, [place], small=small_zone).withColumns({
+        located = lookup_join(df, zones, [place], max_rows=max_rows, small=small_zone).withColumns({
             f"_{end}_date": F.col(ts).cast("date"), f"_{end}_hour": F.hour(ts),
         })
         keys = [f"_{end}_key", f"_{end}_date", f"_{end}_hour"]
-        return lookup_join(located, seen, keys, small=small_weather).drop(*keys)
+        return lookup_join(located, seen, keys, max_rows=max_rows, small=small_weather).drop(*keys)
 
     both = end_of_trip(fact, "pickup", "pu_location_id", "pickup_datetime")
     return end_of_trip(both, "dropoff", "do_location_id", "dropoff_datetime")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from kerbline.functions.timekeys import elapsed_minutes
 from kerbline.operators.dedup import keep_unless, union_by_name
@@ -100,6 +100,13 @@ def for_measure(df: DataFrame, measure: str) -> DataFrame:
     return df.filter(" AND ".join(f"NOT {flag}" for flag in MEASURE_EXCLUDES[measure]))
 
 
+def measure_counts(df: DataFrame) -> DataFrame:
+    """Rows each measure may use, all measures in one scan."""
+    usable = {m: " AND ".join(f"NOT {flag}" for flag in flags) for m, flags in MEASURE_EXCLUDES.items()}
+    counted = df.agg(*[F.expr(f"count_if({rule}) AS {m}") for m, rule in usable.items()])
+    return counted.selectExpr(f"stack({len(usable)}, {', '.join(f"'{m}', {m}" for m in usable)}) AS (measure, trips)")
+
+
 def clean_trips(
     months: Sequence[DataFrame], window_start: str, window_end: str, distance_cap: float = DISTANCE_CAP
 ) -> DataFrame:

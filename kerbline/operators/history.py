@@ -7,7 +7,6 @@ a result. With the history bucketed by ``closure_bk`` an upsert shuffles the bat
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -70,6 +69,27 @@ def latest_batch(df: DataFrame, column: str = "scrape_date") -> DataFrame:
     return df.filter(F.col(column) == newest)
 
 
+def pending_scrapes(raw: DataFrame, history: DataFrame, column: str = "scrape_date") -> DataFrame:
+    """Raw rows of every scrape later than the newest one merged into the history.
+
+    The bound is a scalar subquery on the partition column, so merged scrapes are not read.
+    """
+    merged = history.agg(F.coalesce(F.max("last_seen_scrape").cast("string"), F.lit("")).alias("d")).scalar()
+    return raw.filter(F.col(column) > merged)
+
+
+def has_gaps(raw: DataFrame, history: DataFrame, column: str = "scrape_date") -> bool:
+    """Whether scrapes up to the newest merged one hold sightings that the history lacks.
+
+    A scrape that lands late, with an older date, cannot be folded in by date: first and last
+    sightings and counts of later scrapes already stand. Each merged sighting counts once in
+    ``times_seen``, so the two totals agree exactly when nothing was missed.
+    """
+    state = history.agg(F.max("last_seen_scrape").cast("string").alias("newest"), F.sum("times_seen").alias("counted"))
+    due = raw.filter(F.col(column) <= state.select("newest").scalar()).agg(F.count(F.lit(1)).alias("n"))
+    return due.select((F.col("n") != F.coalesce(state.select("counted").scalar(), F.lit(0))).alias("gap")).first()["gap"]
+
+
 def primary_borough(section: Column) -> Column:
     """The first borough a section names; bridge sections count as "Crossings"."""
     return F.when(section.like("%Crossings%"), F.lit("Crossings")).otherwise(F.split(section, "/")[0])
@@ -202,13 +222,15 @@ def history_summary(history: DataFrame) -> DataFrame:
 
 
 def scrape_report(raw: DataFrame) -> DataFrame:
-    """Per scrape date: rows landed, distinct keys (equal on an idempotent load), locations."""
-    per_value = [
-        raw.groupBy("scrape_date").agg(F.count(F.lit(1)).alias("rows_landed")),
-        raw.groupBy("scrape_date").agg(F.countDistinct("advisory_sk").alias("distinct_keys")),
-        raw.groupBy("scrape_date").agg(F.countDistinct("location_name").alias("locations")),
-    ]
-    return reduce(lambda a, b: a.join(b, "scrape_date"), per_value)
+    """Per scrape date: rows landed, distinct keys (equal on an idempotent load), locations.
+
+    One scan; rows without a scrape date are a group of their own.
+    """
+    return raw.groupBy("scrape_date").agg(
+        F.count(F.lit(1)).alias("rows_landed"),
+        F.countDistinct("advisory_sk").alias("distinct_keys"),
+        F.countDistinct("location_name").alias("locations"),
+    )
 
 
 def idempotency_report(raw: DataFrame, history: DataFrame) -> DataFrame:

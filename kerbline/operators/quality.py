@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbline.functions.numeric import as_column, rounded
+from kerbline.operators.joins import lookup_join
 
 #: Shape of every result row.
 RESULT_COLUMNS = ("column", "data_quality_check", "failed_rows", "total_rows", "percentage", "status")
@@ -139,24 +140,77 @@ def key_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """64-bit hash under which rows that compare equal are equal (0.0 and -0.0 do)."""
+    return F.xxhash64(*[
+        F.col(f"`{f.name}`") + F.lit(0.0) if f.dataType.simpleString() in ("double", "float") else F.col(f"`{f.name}`")
+        for f in df.schema
+    ])
+
+
 def duplicate_rows(df: DataFrame, policy: Policy = FAIL_ON_ANY, empty_percentage: float | None = 0.0) -> DataFrame:
-    """Whole-row duplicates: rows minus distinct rows, from one grouped pass."""
-    per_row = df.groupBy(*df.columns).agg(F.expr("count(1) AS _n")).select("_n")
-    surplus, rows = "coalesce(sum(_n - 1), 0)", "coalesce(sum(_n), 0)"
+    """Whole-row duplicates: rows minus distinct rows.
+
+    Only a hash per row is shuffled. Where hashes repeat (counted first), just the rows with
+    such a hash are compared in full, so the count is exact and unique input moves no rows.
+    """
+    per_hash = df.select(_row_hash(df).alias("_h")).groupBy("_h").agg(F.expr("count(1) AS _n"))
+    repeated = per_hash.filter("_n > 1").select("_h")
+    rows = per_hash.agg(F.expr("coalesce(sum(_n), 0) AS _rows"))
+    if repeated.isEmpty():
+        counted = rows.withColumn("_surplus", F.lit(0).cast("long"))
+    else:
+        lookup = repeated.withColumn("_again", F.lit(True))
+        again = lookup_join(df.withColumn("_h", _row_hash(df)), lookup, ["_h"], how="inner").drop("_h", "_again")
+        surplus = again.groupBy(*df.columns).agg(F.expr("count(1) AS _n")).agg(F.expr("coalesce(sum(_n - 1), 0) AS s")).scalar()
+        counted = rows.withColumn("_surplus", surplus)
     return run_checks(
-        per_row, [Check("ALL_COLUMNS", "Uniqueness", surplus, policy, rows)], empty_percentage=empty_percentage
+        counted, [Check("ALL_COLUMNS", "Uniqueness", "sum(_surplus)", policy, "sum(_rows)")], empty_percentage=empty_percentage
     )
 
 
-def iqr_bounds(df: DataFrame, column: str, accuracy: int = 100_000, factor: float = 1.5) -> DataFrame:
+#: Ranges that exact order statistics are first counted in.
+_RANGES = 256
+
+
+def order_statistics(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """One row ``q``: the exact values at rank ceil(share * n) of the non-NULL values.
+
+    Values are counted, and the counts are summed over ranges whose bounds a sketch gives.
+    Only the range that holds a rank is put in order, so no task orders all values; the
+    sketch decides where ranges end, never the result.
+    """
+    counts = df.filter(f"`{column}` IS NOT NULL").groupBy(F.col(column).alias("_v")).agg(F.expr("count(1) AS _n"))
+    steps = ", ".join(str(k / _RANGES) for k in range(1, _RANGES))
+    bounds = df.agg(F.expr(f"array_distinct(percentile_approx(`{column}`, array({steps}), 1000)) AS b")).scalar()
+    ranged = counts.withColumn("_bounds", bounds).withColumn(
+        "_range", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
+    totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_all")).withColumns({
+        "_before": F.sum("_all").over(Window.orderBy("_range")) - F.col("_all"),
+        "_rows": F.sum("_all").over(Window.partitionBy()),
+    })
+    wanted = totals.select("_range", "_before", "_all", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("_rows"))).alias("rank"))
+        for i, share in enumerate(shares)
+    ])).alias("_w")).filter("_w.rank > _before AND _w.rank <= _before + _all").select("_range", "_before", "_w.*")
+    inside = Window.partitionBy("_range", "i").orderBy("_v")
+    reached = ranged.join(wanted, "_range").withColumn("_upto", F.col("_before") + F.sum("_n").over(inside)).filter(
+        "_upto >= rank AND _upto - _n < rank")
+    return reached.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_v"))), lambda r: r["_v"]).alias("q"))
+
+
+def iqr_bounds(df: DataFrame, column: str, accuracy: int | None = None, factor: float = 1.5) -> DataFrame:
     """One row ``lower, upper``: quartiles widened by ``factor`` ranges, floored at zero.
 
-    Quartiles come from a mergeable sketch with rank error ``rows / accuracy``; they are
-    the exact order statistics while the table has fewer rows than ``accuracy``.
+    Quartiles are exact; without values both bounds are NULL. ``accuracy`` asks for a mergeable sketch instead, with rank error
+    ``rows / accuracy``.
     """
-    quartiles = df.agg(F.expr(f"percentile_approx(`{column}`, array(0.25, 0.75), {accuracy}) AS q"))
+    if accuracy is None:
+        quartiles = order_statistics(df, column, (0.25, 0.75)).selectExpr("IF(size(q) = 2, q, NULL) AS q")
+    else:
+        quartiles = df.agg(F.expr(f"percentile_approx(`{column}`, array(0.25, 0.75), {accuracy}) AS q"))
     return quartiles.selectExpr(
-        f"greatest(0.0D, q[0] - {factor}D * (q[1] - q[0])) AS lower",
+        f"IF(q[0] IS NULL, NULL, greatest(0.0D, q[0] - {factor}D * (q[1] - q[0]))) AS lower",
         f"q[1] + {factor}D * (q[1] - q[0]) AS upper",
     )
 

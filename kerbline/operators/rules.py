@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.functions.keys import advisory_key
+from kerbline.operators.bi import distinct_trips
 from kerbline.operators.clean import DROPOFF, PICKUP
 from kerbline.operators.history import latest_batch
 from kerbline.operators.quality import (
@@ -18,10 +19,8 @@ from kerbline.operators.quality import (
     Check,
     duplicate_rows,
     fails,
-    floor_check,
     iqr_bounds,
     key_duplicates,
-    missing_keys,
     passes,
     run_checks,
     tolerated,
@@ -48,6 +47,7 @@ SERVICE_ZONES = ("Yellow Zone", "Boro Zone", "Airports", "EWR")
 REPEATED_ZONE_NAMES = 3
 ADVISORY_BOROUGHS = ("Manhattan", "Brooklyn", "Queens", "Bronx", "Staten Island", "Crossings")
 LOCATION_FLOOR = 20
+ADVISORY_OUTPUT = "traffic_advisory_and_incident_impact"
 # --------------------------------------------------------------------------------------
 
 
@@ -94,10 +94,11 @@ def trip_rules(window_start: str, window_end: str, lower: Column, upper: Column)
     ]
 
 
-def trip_checks(trips: DataFrame, window_start: str, window_end: str, accuracy: int = 100_000) -> DataFrame:
+def trip_checks(trips: DataFrame, window_start: str, window_end: str, accuracy: int | None = None) -> DataFrame:
     """All 26 trip checks: the row rules in one scan, plus whole-row duplicates.
 
-    Quartile bounds enter as scalar subqueries, so nothing is collected to the driver.
+    Quartile bounds enter as scalar subqueries; they are exact unless ``accuracy`` asks for a
+    sketch.
     """
     bounds = iqr_bounds(trips, "trip_distance", accuracy)
     rules = trip_rules(window_start, window_end, bounds.select("lower").scalar(), bounds.select("upper").scalar())
@@ -204,48 +205,49 @@ def advisory_checks(
 
     ``today`` is a SQL expression that bounds the scrape date.
     """
-    newest = latest_batch(raw)
-    landed = run_checks(newest, [Check(
-        "ALL_COLUMNS (raw, latest scrape)", "Completeness", "CASE WHEN count(1) > 0 THEN 0 ELSE 1 END", FAIL_ON_ANY,
-    )])
-    canary = floor_check(newest, "location_name", location_floor, "location_name (raw)")
-    raw_key = run_checks(key_duplicates(raw, ("advisory_sk",)), [
-        Check("advisory_sk (raw)", "Uniqueness", _REPEATS, FAIL_ON_ANY, "sum(rows)"),
-    ])
-    ahead = run_checks(raw, [
-        fails("scrape_date (raw)", "Timeliness", f"try_cast(scrape_date AS date) > {today}", FAIL_ON_ANY),
-    ])
-    clean_key = run_checks(key_duplicates(history, ("closure_bk",)), [
-        Check("closure_bk", "Uniqueness", _REPEATS, FAIL_ON_ANY, "sum(rows)"),
+    # One aggregation per layer and key: per raw key, per history key, per key of the newest scrape.
+    per_raw_key = raw.groupBy("advisory_sk").agg(
+        F.expr("count(1) AS _n"), F.expr(f"count_if(try_cast(scrape_date AS date) > {today}) AS _ahead"),
+    )
+    raw_rows = run_checks(per_raw_key, [
+        Check("advisory_sk (raw)", "Uniqueness", "coalesce(sum(_n), 0) - count(advisory_sk)", FAIL_ON_ANY, "coalesce(sum(_n), 0)"),
+        Check("scrape_date (raw)", "Timeliness", "coalesce(sum(_ahead), 0)", FAIL_ON_ANY, "coalesce(sum(_n), 0)"),
     ])
     batches = raw.agg(F.expr("count(DISTINCT scrape_date) AS n")).scalar()
-    clean_rows = run_checks(history, [
-        fails("closure_bk", "Completeness", "closure_bk IS NULL", FAIL_ON_ANY),
-        fails("effective_from, effective_to", "Validity", "effective_from > effective_to", BY_PERCENT),
-        fails("borough", "Validity", f"borough NOT IN {_listed(ADVISORY_BOROUGHS)}", BY_PERCENT),
-        fails("times_seen", "Consistency", F.col("times_seen") > batches, FAIL_ON_ANY),
+    per_key = history.groupBy("closure_bk").agg(
+        F.expr("count(1) AS _n"),
+        F.expr("count_if(closure_bk IS NULL) AS _no_key"),
+        F.expr("count_if(effective_from > effective_to) AS _reversed"),
+        F.expr(f"count_if(borough NOT IN {_listed(ADVISORY_BOROUGHS)}) AS _elsewhere"),
+        F.count_if(F.col("times_seen") > batches).alias("_too_often"),
+    )
+    clean_rows = run_checks(per_key, [
+        Check(column, dimension, failed, policy, "coalesce(sum(_n), 0)") for column, dimension, failed, policy in (
+            ("closure_bk", "Uniqueness", "coalesce(sum(_n), 0) - count(closure_bk)", FAIL_ON_ANY),
+            ("closure_bk", "Completeness", "coalesce(sum(_no_key), 0)", FAIL_ON_ANY),
+            ("effective_from, effective_to", "Validity", "coalesce(sum(_reversed), 0)", BY_PERCENT),
+            ("borough", "Validity", "coalesce(sum(_elsewhere), 0)", BY_PERCENT),
+            ("times_seen", "Consistency", "coalesce(sum(_too_often), 0)", FAIL_ON_ANY),
+        )
     ])
-    return _stack([landed, canary, raw_key, ahead, clean_key, clean_rows, layer_gap(newest, history)])
-
-
-def layer_gap(newest_raw: DataFrame, history: DataFrame) -> DataFrame:
-    """Distinct advisory keys of the newest raw batch that the history lacks."""
-    keys = newest_raw.select(advisory_key().alias("closure_bk")).distinct()
-    held = keys.agg(F.expr("count(1) AS n")).scalar()
-    gap = missing_keys(keys, history, "closure_bk")
-    return run_checks(gap, [Check("closure_bk", "Accuracy", "count(1)", FAIL_ON_ANY)], total=held)
+    # The location is part of the advisory key, so this is one row per key of the newest scrape.
+    held = history.select("closure_bk").distinct().withColumn("_held", F.lit(True))
+    newest = latest_batch(raw).groupBy(advisory_key().alias("closure_bk"), "location_name").agg(
+        F.expr("count(1) AS _n")).join(held, "closure_bk", "left")
+    locations = "count(DISTINCT location_name)"
+    shown = run_checks(newest, [
+        Check("ALL_COLUMNS (raw, latest scrape)", "Completeness", "CASE WHEN count(1) > 0 THEN 0 ELSE 1 END",
+              FAIL_ON_ANY, "coalesce(sum(_n), 0)"),
+        Check("location_name (raw)", "Validity", f"CASE WHEN {locations} > {location_floor} THEN 0 ELSE 1 END",
+              BY_PERCENT, locations),
+        Check("closure_bk", "Accuracy", "count_if(_held IS NULL)", FAIL_ON_ANY, "count(1)"),
+    ])
+    return _stack([shown, raw_rows, clean_rows])
 
 
 # --- mart ---------------------------------------------------------------------------------
 
 
-def _unmatched(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str) -> DataFrame:
-    """Fact rows whose (non-NULL) key a dimension lacks. Keys are reduced before the join."""
-    per_key = fact.filter(f"{fact_key} IS NOT NULL").groupBy(F.col(fact_key).alias("_k")).agg(F.expr("count(1) AS _n"))
-    orphans = per_key.join(dim.select(F.col(dim_key).alias("_k")), "_k", "left_anti")
-    return orphans.agg(F.expr("coalesce(sum(_n), 0) AS orphans"))
-
-
 def mart_checks(
     fact: DataFrame,
     dims: dict[str, DataFrame],
@@ -257,28 +259,40 @@ def mart_checks(
     dimensions, key uniqueness of the dimensions, and BI outputs against the fact.
 
     ``dims`` maps ``dim_zone``, ``dim_date``, ``dim_weather``, ``dim_advisory`` to frames
-    (any may be absent). ``outputs`` maps a BI output with ``total_trips`` to the frame;
-    it must account for exactly as many trips as the fact, and be non-empty.
+    (any may be absent). ``outputs`` maps a BI output with ``total_trips`` to the frame; it
+    must be non-empty and account for exactly as many trips as the fact, the advisory output
+    for as many as the fact has without repeats of one trip. A weather output that counts
+    trips several times, for hours with several observations, fails.
+
+    The fact is reduced to its three keys in one aggregation, to which the dimensions' keys
+    are joined; row rules and all references are sums over it.
     """
     keys = ("pu_location_id", "do_location_id", "pickup_date_hour_key")
-    parts = [("fact_trip", run_checks(fact, [
-        *[fails(key, "Completeness", f"{key} IS NULL", FAIL_ON_ANY) for key in keys],
-        passes("trip_duration_min", "Validity", f"trip_duration_min BETWEEN {min_minutes}D AND {max_minutes}D", FAIL_ON_ANY),
-    ]))]
-    fact_rows = fact.agg(F.expr("count(1) AS n")).scalar()
-    references = (
-        ("pu_location_id", "dim_zone", "location_id"),
-        ("do_location_id", "dim_zone", "location_id"),
-        ("pickup_date_hour_key", "dim_date", "date_hour_key"),
-        ("pickup_date_hour_key", "dim_weather", "date_hour_key"),
+    references = [
+        (key, dim, dim_key) for key, dim, dim_key in (
+            ("pu_location_id", "dim_zone", "location_id"),
+            ("do_location_id", "dim_zone", "location_id"),
+            ("pickup_date_hour_key", "dim_date", "date_hour_key"),
+            ("pickup_date_hour_key", "dim_weather", "date_hour_key"),
+        ) if dim in dims
+    ]
+    reduced = fact.groupBy(*keys).agg(
+        F.expr("count(1) AS _n"),
+        F.expr(f"count_if(NOT (trip_duration_min BETWEEN {min_minutes}D AND {max_minutes}D)) AS _off"),
     )
-    for key, dim, dim_key in references:
-        if dim in dims:
-            parts.append(("fact_trip", run_checks(
-                _unmatched(fact, dims[dim], key, dim_key),
-                [Check(f"{key} -> {dim}", "Consistency", "sum(orphans)", BY_PERCENT)],
-                total=fact_rows,
-            )))
+    for i, (key, dim, dim_key) in enumerate(references):
+        known = dims[dim].select(F.col(dim_key).alias(key)).distinct().withColumn(f"_known_{i}", F.lit(True))
+        reduced = reduced.join(known, key, "left")
+
+    def share(column: str, dimension: str, rows: str, policy: Policy) -> Check:
+        return Check(column, dimension, f"coalesce(sum({rows}), 0)", policy, "coalesce(sum(_n), 0)")
+
+    parts = [("fact_trip", run_checks(reduced, [
+        *[share(key, "Completeness", f"IF({key} IS NULL, _n, 0)", FAIL_ON_ANY) for key in keys],
+        share("trip_duration_min", "Validity", "_off", FAIL_ON_ANY),
+        *[share(f"{key} -> {dim}", "Consistency", f"IF({key} IS NOT NULL AND _known_{i} IS NULL, _n, 0)", BY_PERCENT)
+          for i, (key, dim, _) in enumerate(references)],
+    ]))]
     dim_keys = {"dim_zone": "location_id", "dim_date": "date_hour_key", "dim_weather": "date_hour_key",
                 "dim_advisory": "advisory_id"}
     for dim, key in dim_keys.items():
@@ -287,8 +301,10 @@ def mart_checks(
                 Check(key, "Uniqueness", _NON_NULL_REPEATS, FAIL_ON_ANY, "sum(rows)"),
                 Check(key, "Completeness", "sum(null_keys)", FAIL_ON_ANY, "sum(rows)"),
             ])))
+    fact_rows = fact.agg(F.expr("count(1) AS n")).scalar()
     for name, output in (outputs or {}).items():
-        counted = output.agg(F.expr("coalesce(sum(total_trips), 0) AS counted")).withColumn("expected", fact_rows)
+        expected = fact_rows if name != ADVISORY_OUTPUT else distinct_trips(fact).agg(F.expr("count(1) AS n")).scalar()
+        counted = output.agg(F.expr("coalesce(sum(total_trips), 0) AS counted")).withColumn("expected", expected)
         parts.append((name, run_checks(counted, [
             Check("total_trips", "Accuracy", "sum(abs(counted - expected))", BY_PERCENT, "sum(expected)"),
         ])))

@@ -6,7 +6,6 @@ start with the operator id of the survey.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,6 +27,7 @@ from kerbline.operators import (
     rules,
 )
 from kerbline.plans import feeds, oracle as o
+from kerbline.plans.layers import BI_TABLES
 from kerbline.session import checkpoint_dir
 from kerbline.sources import readers, tables
 
@@ -119,11 +119,17 @@ def explicit_schema(spark, sf_dir):
     )
 
 
+def _place(spark: SparkSession, name: str) -> str:
+    """Folder of a table that a query stores, shared on a cluster; a later run writes over it."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return f"{checkpoint_dir(spark, spark.conf.get('spark.sql.warehouse.dir'))}/kerbline-tables/{name}"
+
+
 @query("SNK-1_table_roundtrip", o.statement("SELECT * FROM fact", "fact"))
 def table_roundtrip(spark, sf_dir):
     """Written twice with different schemas to the shared folder, then read back."""
-    run = f"kerbline_{uuid.uuid4().hex}"
-    path = f"{checkpoint_dir(spark, '/tmp/kerbline-tables')}/{run}"
+    run = "kerbline_snk_1"
+    path = _place(spark, run)
     fact = feeds.fact(spark, sf_dir)
     tables.write_table(fact.select("pu_location_id"), run, path=path)
     return tables.write_table(fact, run, path=path)
@@ -131,8 +137,8 @@ def table_roundtrip(spark, sf_dir):
 
 @query("SNK-2_table_from_query", o.statement("SELECT * FROM dim_date", "dim_date"))
 def table_from_query(spark, sf_dir):
-    run = f"kerbline_{uuid.uuid4().hex}"
-    path = f"{checkpoint_dir(spark, '/tmp/kerbline-tables')}/{run}"
+    run = "kerbline_snk_2"
+    path = _place(spark, run)
     return tables.write_table(feeds.date_dim(spark, sf_dir), run, path=path)
 
 
@@ -145,14 +151,32 @@ def view(spark, sf_dir):
 @query("SNK-4_ensure_table", "SELECT * FROM orders")
 def ensure_table(spark, sf_dir):
     """An empty table made from the schema of a query takes exactly that query's rows."""
-    run = f"kerbline_{uuid.uuid4().hex}"
-    path = f"{checkpoint_dir(spark, '/tmp/kerbline-tables')}/{run}"
+    run = "kerbline_snk_4"
+    path = _place(spark, run)
     orders = feeds.table(spark, sf_dir, "orders")
     tables.ensure_table_like(orders, run, path)
     orders.write.insertInto(run)
     return tables.ensure_table_like(orders, run, path)
 
 
+_LAYER_TABLES = dict(zip(tables.LAYERS, ("region", "nation", "customer", "supplier", "part", "orders")))
+
+
+@query("SNK-5_layer_namespaces", o.check_rows(
+    f"SELECT '{layer}' AS layer, '{t}' AS table_name, COUNT(*) AS rows_stored FROM {t}" for layer, t in _LAYER_TABLES.items()))
+def layer_namespaces(spark, sf_dir):
+    """Every layer is created under a prefix and takes a table, which is read back by its name."""
+    prefix = "kerbline_snk_5_"
+    tables.ensure_schemas(spark, prefix=prefix)
+    counts = []
+    for layer, table in _LAYER_TABLES.items():
+        name = f"{prefix}{layer}.{table}"
+        stored = tables.write_table(feeds.table(spark, sf_dir, table), name, path=_place(spark, name))
+        counts.append(stored.agg(F.count(F.lit(1)).alias("rows_stored")).select(
+            F.lit(layer).alias("layer"), F.lit(table).alias("table_name"), "rows_stored"))
+    return dedup.union_by_name(counts)
+
+
 @query("SNK-7_row_guard", "SELECT o_orderstatus, COUNT(*) AS orders FROM orders GROUP BY o_orderstatus")
 def row_guard(spark, sf_dir):
     orders = tables.require_rows(feeds.table(spark, sf_dir, "orders"), "no orders landed")
@@ -391,17 +415,18 @@ def current_only(spark, sf_dir):
 
 # --- cleaning ---------------------------------------------------------------------------------
 
-_RAW_COLUMNS = """VendorID, lpep_pickup_datetime, lpep_dropoff_datetime, PULocationID, DOLocationID, trip_distance,
-       fare_amount, tip_amount, total_amount"""
-
-
-def _narrow(df: DataFrame, *extra: str) -> DataFrame:
-    return df.select(*[c.strip() for c in _RAW_COLUMNS.split(",")], *extra)
+_DOUBLES = ("RatecodeID", "passenger_count", "trip_distance", "fare_amount", "extra", "mta_tax", "tip_amount", "tolls_amount",
+            "ehail_fee", "improvement_surcharge", "total_amount", "payment_type", "trip_type", "congestion_surcharge",
+            "cbd_congestion_fee")
+_RAW_COLUMNS = ", ".join((
+    "VendorID", "lpep_pickup_datetime", "lpep_dropoff_datetime", "store_and_fwd_flag",
+    "CAST(PULocationID AS INTEGER) AS PULocationID", "CAST(DOLocationID AS INTEGER) AS DOLocationID",
+    *(f"CAST({c} AS DOUBLE) AS {c}" for c in _DOUBLES)))
 
 
 @query("CLN-1_union_months", o.statement(f"SELECT {_RAW_COLUMNS} FROM trips_raw", "trips_raw"))
 def union_months(spark, sf_dir):
-    return _narrow(clean.union_months(feeds.trip_months(spark, sf_dir)))
+    return clean.union_months(feeds.trip_months(spark, sf_dir))
 
 
 @query("CLN-2_duration", o.statement("SELECT *, minutes AS trip_duration_min FROM trips_timed".replace(
@@ -413,12 +438,12 @@ def duration(spark, sf_dir):
 
 @query("CLN-3_hard_excludes", o.statement(f"SELECT {_RAW_COLUMNS} FROM trips_excluded", "trips_excluded"))
 def hard_excludes(spark, sf_dir):
-    return _narrow(clean.hard_excludes(feeds.trips_raw(spark, sf_dir), *feeds.WINDOW)[1])
+    return clean.hard_excludes(feeds.trips_raw(spark, sf_dir), *feeds.WINDOW)[1]
 
 
 @query("CLN-4_kept_trips", o.statement(f"SELECT {_RAW_COLUMNS} FROM trips_kept", "trips_kept"))
 def kept_trips(spark, sf_dir):
-    return _narrow(clean.hard_excludes(feeds.trips_raw(spark, sf_dir), *feeds.WINDOW)[0])
+    return clean.hard_excludes(feeds.trips_raw(spark, sf_dir), *feeds.WINDOW)[0]
 
 
 @query("CLN-5_typed_trips", o.statement("SELECT * FROM trips_typed", "trips_typed"))
@@ -443,10 +468,7 @@ UNION ALL SELECT 'passengers', COUNT(*) FROM trips WHERE NOT flag_zero_passenger
 UNION ALL SELECT 'metadata', COUNT(*) FROM trips WHERE NOT flag_vendor6_incomplete""", "trips"))
 def for_measure(spark, sf_dir):
     trips = feeds.trips(spark, sf_dir)
-    return dedup.union_by_name([
-        clean.for_measure(trips, m).agg(F.count(F.lit(1)).alias("trips")).select(F.lit(m).alias("measure"), "trips")
-        for m in clean.MEASURE_EXCLUDES
-    ])
+    return clean.measure_counts(trips)
 
 
 @query("CLN-8_weather", o.statement("SELECT * FROM place_weather", "place_weather"))
@@ -461,12 +483,11 @@ def zones(spark, sf_dir):
 
 @query("CLN-10_advisory_clean", o.statement("SELECT * FROM history", "history"))
 def advisory_clean(spark, sf_dir):
-    """Newest scrape merged into the history of the ones before it."""
+    """All scrapes that landed after an early merge are merged together, then nothing is pending."""
     raw = feeds.advisories_raw(spark, sf_dir)
-    newest = hist.stage_history(hist.latest_batch(raw), unique=True)
-    seen = hist.stage_history(raw, unique=True)
-    before = seen.filter(F.col("scrape_dt") < seen.agg(F.max("scrape_dt").alias("d")).scalar())
-    return hist.apply_sightings(hist.rebuild_history(before), newest).drop("ingested_at")
+    early = hist.rebuild_history(hist.stage_history(raw.filter(F.col("scrape_date") < _OLD), unique=True))
+    merged = hist.apply_sightings(early, hist.stage_history(hist.pending_scrapes(raw, early), unique=True))
+    return merged.drop("ingested_at")
 
 
 # --- mart -------------------------------------------------------------------------------------
@@ -640,7 +661,9 @@ def endpoint_weather(spark, sf_dir):
 # --- profiling --------------------------------------------------------------------------------
 
 
-def _profile_sql(table: str, columns: dict[str, str]) -> str:
+def _profile_sql(table: str, columns: dict[str, str], rows: str | None = None) -> str:
+    rows = rows or table
+
     def one(column: str, kind: str) -> str:
         return f"""
 SELECT '{table}' AS table_name, '{column}' AS column_name, '{kind}' AS data_type, COUNT(*) AS total_rows,
@@ -649,9 +672,9 @@ SELECT '{table}' AS table_name, '{column}' AS column_name, '{kind}' AS data_type
        COUNT(DISTINCT {column}) AS distinct_count,
        {o.rounded(f'100.0 * COUNT(DISTINCT {column}) / NULLIF(COUNT(*), 0)')} AS distinct_percentage,
        CAST(MIN({column}) AS VARCHAR) AS min_value, CAST(MAX({column}) AS VARCHAR) AS max_value,
-       (SELECT CAST({column} AS VARCHAR) FROM {table} WHERE {column} IS NOT NULL GROUP BY {column}
+       (SELECT CAST({column} AS VARCHAR) FROM {rows} WHERE {column} IS NOT NULL GROUP BY {column}
         ORDER BY COUNT(*) DESC, {column} LIMIT 1) AS most_common_value
-FROM {table}"""
+FROM {rows}"""
 
     return "\nUNION ALL\n".join(one(c, t) for c, t in columns.items())
 
@@ -671,7 +694,16 @@ _COLUMNS = {
                  "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"},
     "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string",
                "value": "double", "props": "string"},
+    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
+    "embeddings": {"vec_id": "bigint", "embedding": "array<int>", "label": "int"},
+    "pages": {"page_id": "bigint", "url": "string", "html": "string"},
+    "benchmark": {"item_id": "bigint", "text": "string"},
+    "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
+    "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},
 }
+#: Vectors are profiled in whole thousandths, which both engines spell alike.
+_THOUSANDTHS = """(SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS INTEGER)) AS embedding
+FROM embeddings)"""
 
 
 @query("PRF-1_profile_lineitem", _profile_sql("lineitem", _COLUMNS["lineitem"]))
@@ -679,9 +711,14 @@ def profile_lineitem(spark, sf_dir):
     return profile.profile(feeds.table(spark, sf_dir, "lineitem"), "lineitem")
 
 
-@query("PRF-2_profile_all", "\nUNION ALL\n".join(_profile_sql(t, _COLUMNS[t]) for t in STAR_TABLES))
+@query("PRF-2_profile_all", "\nUNION ALL\n".join(
+    _profile_sql(t, c, _THOUSANDTHS if t == "embeddings" else None) for t, c in _COLUMNS.items()))
 def profile_all(spark, sf_dir):
-    return profile.profile_all({t: feeds.table(spark, sf_dir, t) for t in STAR_TABLES})
+    """Every column of all fourteen tables."""
+    frames = {t: feeds.table(spark, sf_dir, t) for t in _COLUMNS}
+    frames["embeddings"] = frames["embeddings"].withColumn("embedding", F.transform(
+        "embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int")))
+    return profile.profile_all(frames)
 
 
 # --- data quality -----------------------------------------------------------------------------
@@ -715,12 +752,16 @@ def iqr_bounds(spark, sf_dir):
     return quality.iqr_bounds(feeds.table(spark, sf_dir, "events"), "value")
 
 
+_COPIED = "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 7)"
+
+
 @query("DQ-4_duplicate_rows", o.check_row(
-    "ALL_COLUMNS", "Uniqueness",
-    "(SELECT COUNT(*) FROM lineitem) - (SELECT COUNT(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))",
-    o._count("lineitem"), "fail"))
+    "ALL_COLUMNS", "Uniqueness", f"(SELECT COUNT(*) FROM {_COPIED}) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {_COPIED}))",
+    o._count(_COPIED), "fail"))
 def duplicate_rows(spark, sf_dir):
-    return quality.duplicate_rows(feeds.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+    """Whole order lines, some of which are there twice."""
+    lines = feeds.table(spark, sf_dir, "lineitem")
+    return quality.duplicate_rows(lines.union(lines.filter("l_linenumber = 7")))
 
 
 @query("DQ-5_weather_checks", o.statement(o.check_rows(o.weather_check_rows("place_weather")), "place_weather"))
@@ -856,20 +897,31 @@ def mart_checks(spark, sf_dir):
         "dim_zone": zone, "dim_date": date, "dim_weather": feeds.weather_dim(spark, sf_dir),
         "dim_advisory": feeds.advisory_dim(spark, sf_dir),
     }
-    outputs = {
-        "borough_flows": bi.borough_flows(fact, zone), "temporal_patterns": bi.temporal_patterns(fact, date),
-        "kpi_summary": bi.kpi_summary(fact),
-    }
+    weather, advisory = dims["dim_weather"], dims["dim_advisory"]
+    outputs = dict(zip(BI_TABLES, (
+        bi.borough_flows(fact, zone), bi.top_pickup_zones(fact, zone), bi.temporal_patterns(fact, date),
+        bi.weather_impact(fact, weather), bi.advisory_impact(fact, zone, advisory, days=feeds.WINDOW), bi.kpi_summary(fact),
+    )))
     return rules.mart_checks(fact, dims, outputs)
 
 
-@query("DQ-19_reconcile", o.check_row(
-    "rows", "Completeness", f"SELECT COUNT(*) FROM lineitem WHERE l_shipdate IS NULL", o._count("lineitem"), "fail"))
+_URGENT = "o_orderpriority = '1-URGENT'"
+
+
+@query("DQ-19_reconcile", o.check_rows([
+    o.check_row("complete batch", "Completeness", "SELECT 0", o._count("orders"), "fail"),
+    o.check_row("short batch", "Completeness", o._count("orders", _URGENT), o._count("orders"), "fail"),
+]))
 def reconcile(spark, sf_dir):
-    """Order lines as landed (projected and stamped) against the source table."""
-    source = feeds.table(spark, sf_dir, "lineitem")
-    landed = tables.with_provenance(source.select("l_orderkey", "l_linenumber"), "orders", "b1")
-    return quality.reconcile(source, landed)
+    """Orders landed whole, and landed without some of them, against their source."""
+    source = feeds.table(spark, sf_dir, "orders")
+    batches = {"complete": source, "short": source.filter(f"NOT ({_URGENT})")}
+    found = []
+    for kind, batch in batches.items():
+        name = f"kerbline_dq_19_{kind}"
+        landed = tables.write_table(tables.with_provenance(batch, "orders", "b1"), name, path=_place(spark, name))
+        found.append(quality.reconcile(source, landed, f"{kind} batch"))
+    return dedup.union_by_name(found)
 
 
 @query("DQ-19_schema_drift", """

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kerbline.operators import bi, clean, history as hist, mart, profile, rollup, rules
 from kerbline.sources import tables
@@ -25,6 +25,8 @@ VALIDATION = {"Green Taxi": "green_taxi_validation", "Weather": "weather_validat
               "Taxi Zones": "taxi_zones_validation", "Traffic Advisory": "traffic_advisory_validation"}
 CLEAN_QUALITY, MART_QUALITY = "validation.clean_layer_quality", "validation.mart_layer_quality"
 # --------------------------------------------------------------------------------------
+#: Column by which trips and the fact are stored, and files that a day is spread over.
+PICKUP_DATE, FILES_PER_DAY = "pickup_date", 8
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,18 @@ class Layers:
     def table(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table))
 
+    def publish(self, df: DataFrame, table: str, day_of: str | None = None) -> DataFrame:
+        """Rebuild a table as a new version; a job that is lost half way leaves the old one readable.
+
+        ``day_of`` names a time by whose date (``pickup_date``, last column) rows are stored.
+        """
+        if day_of is None:
+            return tables.publish_version(df, self.name(table))
+        dated = df.withColumn(PICKUP_DATE, F.col(day_of).cast("date"))
+        # One writer per day and hash range, else every task opens a file for every day.
+        spread = dated.repartition(PICKUP_DATE, F.pmod(F.xxhash64(*df.columns), F.lit(FILES_PER_DAY)))
+        return tables.publish_version(spread, self.name(table), partition_by=(PICKUP_DATE,))
+
     def prepare(self) -> None:
         tables.ensure_schemas(self.spark, prefix=self.prefix)
 
@@ -59,26 +73,31 @@ class Layers:
         """Append the entries of a scrape that are not held yet."""
         tables.require_rows(entries, f"no advisory entries in {batch_id}: has the page markup changed?")
         stamped = tables.with_provenance(entries, source_system, batch_id)
-        return tables.append_new(hist.load_scrape(stamped, None), self.name(RAW_ADVISORY), "advisory_sk", "scrape_date")
+        span = entries.agg(F.min("scrape_date"), F.max("scrape_date")).first()
+        return tables.append_new(
+            hist.load_scrape(stamped, None), self.name(RAW_ADVISORY), "advisory_sk", "scrape_date", span=tuple(span))
 
     # -- clean ---------------------------------------------------------------------------
 
     def build_clean(self, months: list[str]) -> None:
         raw_months = [self.table(m) for m in months]
-        tables.write_table(
-            clean.clean_trips(raw_months, self.window_start, self.window_end), self.name(CLEAN_TRIPS))
-        tables.write_table(clean.clean_weather(self.table(RAW_WEATHER)), self.name(CLEAN_WEATHER))
-        tables.write_table(clean.clean_zones(self.table(RAW_ZONES)), self.name(CLEAN_ZONES))
+        self.publish(clean.clean_trips(raw_months, self.window_start, self.window_end), CLEAN_TRIPS, clean.PICKUP)
+        self.publish(clean.clean_weather(self.table(RAW_WEATHER)), CLEAN_WEATHER)
+        self.publish(clean.clean_zones(self.table(RAW_ZONES)), CLEAN_ZONES)
         self.merge_advisories()
 
     def merge_advisories(self, rebuild: bool = False) -> DataFrame:
-        """Merge the newest scrape into the history, or rebuild it from all scrapes."""
+        """Merge every scrape landed since the last merge into the history.
+
+        The history is rebuilt from all scrapes when there is none yet, when asked for, or
+        when a scrape landed late with a date before one that is already merged.
+        """
         raw, name = self.table(RAW_ADVISORY), self.name(CLEAN_ADVISORY)
-        if rebuild or not self.spark.catalog.tableExists(name):
+        if rebuild or not self.spark.catalog.tableExists(name) or hist.has_gaps(raw, self.spark.table(name)):
             merged = hist.rebuild_history(hist.stage_history(raw, unique=True))
         else:
-            newest = hist.stage_history(hist.latest_batch(raw), unique=True)
-            merged = hist.apply_sightings(self.spark.table(name), newest)
+            held = self.spark.table(name)
+            merged = hist.apply_sightings(held, hist.stage_history(hist.pending_scrapes(raw, held), unique=True))
         buckets = (self.history_buckets, hist.KEY) if self.history_buckets else None
         return tables.publish_version(merged, name, bucket_by=buckets)
 
@@ -94,7 +113,7 @@ class Layers:
             "fact_trip": mart.fact_trip(trips),
         }
         for table, df in built.items():
-            tables.write_table(df, self.name(f"mart.{table}"))
+            self.publish(df, f"mart.{table}", "pickup_datetime" if table == "fact_trip" else None)
 
     def bi_outputs(self) -> dict[str, DataFrame]:
         fact = self.table("mart.fact_trip")
@@ -110,7 +129,7 @@ class Layers:
 
     def build_bi(self) -> None:
         for table, df in self.bi_outputs().items():
-            tables.write_table(df, self.name(f"bi_visualization.{table}"))
+            self.publish(df, f"bi_visualization.{table}")
 
     # -- validation ----------------------------------------------------------------------
 
@@ -129,16 +148,28 @@ class Layers:
         }
         names = {dataset: self.name(f"validation.{table}") for dataset, table in VALIDATION.items()}
         for dataset, df in results.items():
-            tables.write_table(df, names[dataset])
-        return tables.create_view(self.spark, self.name(CLEAN_QUALITY), rollup.unified_query(names))
+            self.publish(df, f"validation.{VALIDATION[dataset]}")
+        unified = tables.create_view(self.spark, self.name(CLEAN_QUALITY), rollup.unified_query(names))
+        self.publish_rollups(unified, "clean")
+        return unified
 
     def validate_mart(self) -> DataFrame:
         dims = {dim: self.table(f"mart.{dim}") for dim in DIMS}
-        outputs = {
-            t: self.table(f"bi_visualization.{t}") for t in BI_TABLES if t != "weather_impact_analysis"
-        }
+        outputs = {t: self.table(f"bi_visualization.{t}") for t in BI_TABLES}
         checks = rules.mart_checks(self.table("mart.fact_trip"), dims, outputs)
-        return tables.write_table(checks, self.name(MART_QUALITY))
+        stored = self.publish(checks, MART_QUALITY)
+        self.publish_rollups(stored, "mart")
+        return stored
+
+    def publish_rollups(self, results: DataFrame, layer: str) -> None:
+        """The dashboard's rollups of one layer's results, stored under ``dq_visualization``."""
+        for name, rolled in {
+            "status_totals": rollup.status_totals(results),
+            "by_dataset_status": rollup.by_dataset_status(results),
+            "by_dimension": rollup.by_dimension(results),
+            "issues": rollup.issues(results),
+        }.items():
+            self.publish(rolled, f"dq_visualization.{layer}_{name}")
 
     def run(self, months: Mapping[str, DataFrame], weather: DataFrame, zones: DataFrame, entries: DataFrame, batch_id: str) -> None:
         """Everything once, in dependency order. ``entries`` may hold several scrapes."""

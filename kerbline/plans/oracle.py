@@ -512,8 +512,17 @@ def mart_check_rows() -> list[str]:
         rows.append(check_row(key, "Completeness", _count(dim, f"{key} IS NULL"), _count(dim), "fail", dim))
     flows = "SELECT COUNT(*) FROM fact JOIN dim_zone a ON pu_location_id = a.location_id JOIN dim_zone b ON do_location_id = b.location_id"
     hours = "SELECT COUNT(*) FROM fact JOIN dim_date ON pickup_date_hour_key = date_hour_key"
-    for name, counted in (("borough_flows", flows), ("temporal_patterns", hours), ("kpi_summary", n)):
-        rows.append(check_row("total_trips", "Accuracy", f"abs(({counted}) - ({n}))", n, "percent", name))
+    weather = "SELECT COUNT(*) FROM fact JOIN dim_weather ON pickup_date_hour_key = date_hour_key"
+    identity = "SELECT DISTINCT pu_location_id, do_location_id, pickup_datetime, dropoff_datetime FROM fact"
+    trips = f"SELECT COUNT(*) FROM ({identity})"
+    placed = f"SELECT COUNT(*) FROM ({identity}) JOIN dim_zone ON pu_location_id = location_id"
+    picked = "SELECT COUNT(*) FROM fact JOIN dim_zone ON pu_location_id = location_id"
+    for name, counted, expected in (
+        ("borough_flow_analytics", flows, n), ("temporal_patterns_and_behaviors", hours, n), ("kpi_summary", n, n),
+        ("weather_impact_analysis", weather, n), ("traffic_advisory_and_incident_impact", placed, trips),
+        ("top_pickup_zones", picked, n),
+    ):
+        rows.append(check_row("total_trips", "Accuracy", f"abs(({counted}) - ({expected}))", expected, "percent", name))
     return rows
 
 

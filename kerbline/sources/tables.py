@@ -114,7 +114,7 @@ def _versions(spark: SparkSession, name: str) -> list[int]:
 
 
 def publish_version(
-    df: DataFrame, name: str, keep: int = 2, bucket_by: tuple[int, str] | None = None
+    df: DataFrame, name: str, keep: int = 2, bucket_by: tuple[int, str] | None = None, partition_by: Sequence[str] = ()
 ) -> DataFrame:
     """Store ``df`` as the next version of ``name`` and switch readers over to it.
 
@@ -124,7 +124,7 @@ def publish_version(
     spark = df.sparkSession
     held = _versions(spark, name)
     number = (held[-1] if held else 0) + 1
-    write_table(df, f"{name}__v{number}", bucket_by=bucket_by)
+    write_table(df, f"{name}__v{number}", partition_by, bucket_by)
     spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {name}__v{number}")
     for old in held:
         if old <= number - keep:
@@ -132,21 +132,23 @@ def publish_version(
     return spark.table(name)
 
 
-def append_new(batch: DataFrame, name: str, key: str, partition: str) -> DataFrame:
+def append_new(
+    batch: DataFrame, name: str, key: str, partition: str, span: tuple[str, str] | None = None
+) -> DataFrame:
     """Append the batch rows whose key the table lacks; held rows are never rewritten.
 
     The table is created, partitioned, on first use. ``partition`` is the batch column
     that is also part of the key, so only partitions in the range of the batch are read
-    to look for held keys. Running a batch again appends nothing.
+    to look for held keys. ``span``, where the caller knows it, is that range; otherwise the
+    batch is computed once for it and once more to be written. Running a batch again
+    appends nothing.
     """
     spark = batch.sparkSession
     if not spark.catalog.tableExists(name):
         batch.limit(0).write.format("parquet").partitionBy(partition).saveAsTable(name)
     held = spark.table(name)
-    bounds = batch.agg(F.min(partition).alias("lo"), F.max(partition).alias("hi"))
-    in_range = held.filter(
-        (F.col(partition) >= bounds.select("lo").scalar()) & (F.col(partition) <= bounds.select("hi").scalar())
-    )
+    low, high = span or batch.agg(F.min(partition), F.max(partition)).first()
+    in_range = held.filter(F.col(partition).between(F.lit(low), F.lit(high)))
     fresh = batch.join(in_range.select(key), key, "left_anti").select(*held.columns)
     fresh.write.mode("append").format("parquet").partitionBy(partition).saveAsTable(name)
     return spark.table(name)

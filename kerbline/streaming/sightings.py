@@ -14,8 +14,11 @@ from kerbline.operators import history as hist
 from kerbline.sources import tables
 
 
-def read_scrapes(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """Stream of raw advisory entries from a folder of landed Parquet files."""
+def read_scrapes(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of raw advisory entries from a folder of landed Parquet files.
+
+    Each micro-batch rewrites the history once, so it should take in many files.
+    """
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     )

@@ -98,8 +98,63 @@ def test_all_layers(spark, small_sf):
 
     outputs = layers.bi_outputs()
     assert set(outputs) == set(BI_TABLES)
+    assert layers.table("validation.mart_layer_quality").filter("`column` = 'total_trips'").count() == len(BI_TABLES)
+    totals = layers.table("dq_visualization.clean_status_totals").first()
+    assert totals.total_checks == 69 and totals.pass_checks + totals.warn_checks + totals.fail_checks == 69
+    assert layers.table("dq_visualization.mart_by_dataset_status").agg({"check_count": "sum"}).first()[0] == (
+        layers.table("validation.mart_layer_quality").count())
+
+    plan = outputs["traffic_advisory_and_incident_impact"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [((isnull(pickup_date" in plan.replace("#", " #").replace(" #", "#") or "PartitionFilters: [(isnull(pickup_date" in plan
     profiled = layers.profile_raw()
     assert {r.table_name for r in profiled.select("table_name").distinct().collect()} == {
         "green_01_2024", "green_02_2024", "green_03_2024", "weather", "taxi_zones", "traffic_advisory"}
     with pytest.raises(tables.EmptyBatchError):
         layers.land_scrape(entries.limit(0), "advisory_pages", "b3")
+
+
+def _scrapes(spark, small_sf):
+    entries = feeds.scrape_entries(spark, small_sf).drop("source_system", "batch_id").withColumn("advisory_sk", sighting_key())
+    days = sorted(r.scrape_date for r in entries.select("scrape_date").distinct().collect())
+    return entries.cache(), days
+
+
+def test_every_landed_scrape_is_merged(spark, small_sf):
+    """Several scrapes between merges, and one that lands late, give what a rebuild gives."""
+    layers = Layers(spark, *feeds.WINDOW, prefix=f"k{uuid.uuid4().hex[:6]}_")
+    layers.prepare()
+    entries, days = _scrapes(spark, small_sf)
+    assert len(days) >= 4
+    late = days[-2]
+
+    def history():
+        return records(layers.table("clean.traffic_advisory").drop("ingested_at"))
+
+    layers.land_scrape(entries.filter(F.col("scrape_date") == days[0]), "pages", "b1")
+    layers.merge_advisories()
+    layers.land_scrape(entries.filter((F.col("scrape_date") > days[0]) & (F.col("scrape_date") != late)), "pages", "b2")
+    layers.merge_advisories()
+    merged = history()
+    layers.merge_advisories(rebuild=True)
+    assert merged == history()
+    layers.merge_advisories()
+    assert merged == history()  # nothing is pending
+    layers.land_scrape(entries.filter(F.col("scrape_date") == late), "pages", "b3")
+    layers.merge_advisories()
+    with_late = history()
+    assert with_late != merged
+    layers.merge_advisories(rebuild=True)
+    assert with_late == history()
+    seen = layers.table("clean.traffic_advisory").agg(F.sum("times_seen")).first()[0]
+    assert seen == layers.table("raw.traffic_advisory").count()
+
+
+def test_lost_rebuild_leaves_the_old_version(spark):
+    name = f"v_{uuid.uuid4().hex[:8]}"
+    tables.publish_version(spark.range(3).toDF("k"), name)
+    broken = spark.range(2).select(F.raise_error(F.lit("lost")).cast("long").alias("k"))
+    with pytest.raises(Exception, match="lost"):
+        tables.publish_version(broken, name)
+    assert records(spark.table(name)) == [(0,), (1,), (2,)]
+    tables.publish_version(spark.range(1).toDF("k"), name)
+    assert records(spark.table(name)) == [(0,)]

@@ -174,3 +174,98 @@ def test_profiler_reads_one_column_per_scan(spark, tmp_path):
     plan = profile.profile(df, "t")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ReadSchema: struct<id:bigint>") == 1 and plan.count("ReadSchema: struct<b:bigint>") == 1
     assert "Expand" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quartiles_are_exact_at_any_size(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for n in (1, 2, 3, 7, 100, 150_003):
+        df = spark.range(n).selectExpr("CAST(pmod(id * 7919, 100003) / 8 AS DOUBLE) AS v").union(
+            spark.range(3).selectExpr("CAST(NULL AS DOUBLE) AS v"))
+        q1, q3 = con.execute(
+            "SELECT quantile_disc(v, 0.25), quantile_disc(v, 0.75) FROM (SELECT ((i * 7919) % 100003) / 8.0 AS v FROM range(?) t(i))", [n]).fetchone()
+        got = quality.iqr_bounds(df, "v").first()
+        assert (got.lower, got.upper) == (max(0.0, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), n
+    empty = quality.iqr_bounds(spark.range(0).selectExpr("CAST(id AS DOUBLE) AS v"), "v").collect()
+    assert [tuple(r) for r in empty] == [(None, None)]
+    same = quality.iqr_bounds(spark.range(5000).selectExpr("2.5D AS v"), "v").first()
+    assert (same.lower, same.upper) == (2.5, 2.5)
+
+
+def test_duplicates_are_found_by_hash_first(spark):
+    unique = spark.range(2000).selectExpr("id", "repeat('x', 200) AS wide", "CAST(id AS DOUBLE) AS d")
+    found = quality.duplicate_rows(unique)
+    assert found.first().failed_rows == 0
+    assert not any("Exchange" in line and "wide" in line for line in _plan(found).splitlines())
+    copies = unique.union(unique.filter("id < 10")).union(spark.sql("SELECT 0L, repeat('x', 200), -0.0D")).union(
+        spark.sql("SELECT CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS DOUBLE) FROM range(3)"))
+    row = quality.duplicate_rows(copies).first()
+    assert (row.failed_rows, row.total_rows) == (10 + 1 + 2, 2014)
+
+
+def test_lookup_bounds_are_kept(spark):
+    from kerbline.operators import joins
+
+    facts = spark.range(9000).selectExpr("id AS trip", "IF(id % 3 = 0, 1, CAST(id % 2000 AS INT)) AS zone", "IF(id % 7 = 0, NULL, id % 2) AS h")
+    lookup = spark.range(2000).selectExpr("CAST(id AS INT) AS zone", "concat('z', id) AS name")
+    small = joins.lookup_join(facts, lookup, ["zone"])
+    large = joins.lookup_join(facts, lookup, ["zone"], max_rows=1)
+    told = joins.lookup_join(facts, lookup, ["zone"], small=False)
+    with_limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) == sorted(map(tuple, told.collect()))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "Broadcast" not in _plan(joins.lookup_join(facts, lookup, ["zone"], max_rows=1))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_limit)
+    assert "BroadcastHashJoin" in _plan(small)
+    hot = joins._hot_hashes(facts, ["zone"])
+    assert hot == [facts.select(F.xxhash64(F.lit(1))).first()[0]]
+    assert joins.within_rows(lookup, 2000) and not joins.within_rows(lookup, 1999) and not joins.within_rows(lookup, 5000, max_bytes=100)
+
+
+def test_endpoint_weather_heeds_its_bound(spark, small_sf):
+    from kerbline.operators import bi
+    from kerbline.plans import feeds
+
+    inputs = [f(spark, small_sf) for f in (feeds.fact, feeds.zone_dim, feeds.place_weather_dim)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = sorted(map(str, bi.endpoint_weather(*inputs).collect()))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        beyond = bi.endpoint_weather(*inputs, max_rows=1)
+        # The zone adapter itself joins two small given tables; no lookup is sent around.
+        assert "BroadcastHashJoin" not in _plan(beyond)
+        assert sorted(map(str, beyond.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rule_sets_take_few_passes(spark, tmp_path):
+    from kerbline.operators import clean, history as hist, rules
+    from kerbline.plans import feeds
+
+    sf = "/root/testdata/sf0.001"
+
+    def kept(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    fact, zone, date, weather = (kept(f(spark, sf), n) for n, f in (
+        ("fact", feeds.fact), ("zone", feeds.zone_dim), ("date", feeds.date_dim), ("weather", feeds.weather_dim)))
+    plan = _plan(rules.mart_checks(fact, {"dim_zone": zone, "dim_date": date, "dim_weather": weather}))
+    assert plan.count(f"{tmp_path}/fact") <= 2
+    raw, held = kept(feeds.advisories_raw(spark, sf), "raw"), kept(feeds.history(spark, sf), "history")
+    plan = _plan(rules.advisory_checks(raw, held))
+    main = plan.split("Subqueries")[0]
+    assert main.count("FileScan parquet") <= 8
+    trips = kept(feeds.trips(spark, sf), "trips")
+    assert _plan(clean.measure_counts(trips)).count("FileScan parquet") == 1
+    report = hist.scrape_report(raw.unionByName(raw.limit(2).withColumn("scrape_date", F.lit(None).cast("string"))))
+    assert report.filter("scrape_date IS NULL").first().rows_landed == 2
+    assert _plan(hist.scrape_report(raw)).count("FileScan parquet") == 1
