@@ -82,8 +82,8 @@ def shape(texts: list[str | None]) -> np.ndarray:
     for i in range(0, len(parts), _ROWS):
         some = parts[i:i + _ROWS]
         lengths = np.array([len(t) for _, t in some])
-        kind = _kinds()[np.frombuffer("".join(t for _, t in some).encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
-        row = np.repeat(np.arange(len(some)), lengths)
+        kind = _kinds()[np.frombuffer("".join(t for _, t in some).encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int32)
+        row = np.repeat(np.arange(len(some), dtype=np.int32), lengths)
         gram = (kind[:-2] * _KINDS + kind[1:-1]) * _KINDS + kind[2:]
         inside = row[:-2] == row[2:]
         counts = np.bincount(row[:-2][inside] * _KINDS ** 3 + gram[inside], minlength=len(some) * _KINDS ** 3)
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: in
     some = docs.select(*_INPUT).join(F.broadcast(ids[0].union(ids[1]).union(ids[2])), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", _PART):
             ids, texts, sources, langs, lengths, marks = (c.to_pylist() for c in batch.columns)
             x, m = shape(texts), page(sources, langs, lengths)
             yield pa.RecordBatch.from_arrays(
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     names = [prefix + c for c in ("score", "content_score", "metadata_score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", _PART):
             for a in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(a, _ROWS)
                 texts, sources, langs, lengths = (part.column(k).to_pylist() for k in at)
