@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from kerbline.functions.numeric import as_column
@@ -16,9 +20,21 @@ EVENT_MARKER = r"(?i)^Festivals?,?\s*Parades and Events$"
 WEEK_HEADER = "Weekly Traffic Advisory for"
 NOTE_PREFIX = "*Note"
 MAX_HEADING_LENGTH = 150
-NAMED_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 # ----------------------------------------------------------------------------------
 
+#: Character references by name, from the standard library's table of HTML names, and the
+#: numbers 128 to 159, which pages use for the Windows code page.
+_NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+_WINDOWS = {str(n): bytes([n]).decode("cp1252", "replace") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+_REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _constant_map(values: dict[str, str]) -> Column:
+    """A map known when the query is planned, handed over as one text."""
+    pairs = "\x01".join(f"{k}\x02{v}" for k, v in values.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
+
+
 def date_mentions(text: Column | str) -> Column:
     """Every date named in prose ("September 12th, 2026") in order, as ``array<date>``.
 
@@ -71,16 +87,16 @@ def has_segment(text: Column | str) -> Column:
     return as_column(text).rlike(STREET_SEGMENT)
 
 
-def field_label(text: Column | str) -> Column:
-    """The label named by a heading such as "Route:"; NULL when it is not one."""
-    names = "|".join(label.replace("(", r"\(").replace(")", r"\)") for label in FIELD_LABELS)
+def field_label(text: Column | str, labels: Sequence[str] = FIELD_LABELS) -> Column:
+    """The label named by a heading such as "Route:"; NULL when it is none of ``labels``."""
+    names = "|".join(re.escape(label) for label in labels)
     pattern = rf"(?i)^({names})\s*:\s*$"
     text = as_column(text)
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
 
 
-def is_event_marker(text: Column | str) -> Column:
-    return as_column(text).rlike(EVENT_MARKER)
+def is_event_marker(text: Column | str, marker: str = EVENT_MARKER) -> Column:
+    return as_column(text).rlike(marker)
 
 
 def strip_hidden(html: Column | str) -> Column:
@@ -91,30 +107,29 @@ def strip_hidden(html: Column | str) -> Column:
 
 
 def decode_entities(text: Column | str) -> Column:
-    """Common named and all numeric character references, ``&amp;`` last."""
-    text = as_column(text)
+    """Every numeric character reference and every one named by HTML, in a single pass.
 
-    def char(code_hex: Column) -> Column:
-        # Code points beyond Unicode, and NUL, are shown as U+FFFD like browsers do.
-        wide = F.lpad(code_hex, 8, "0")
-        usable = (wide > "00000000") & (F.upper(wide) <= "0010FFFF")
-        return F.decode(F.unhex(F.when(usable, wide).otherwise("0000FFFD")), "UTF-32")
+    What a reference decodes to is not decoded again. Unknown names stay as they are; numbers
+    that are no character are shown as U+FFFD like browsers do.
+    """
+    text = as_column(text)
 
-    decimals = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7});"), 1))
-    numeric = F.aggregate(
-        decimals, text,
-        lambda acc, code: F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), char(F.hex(code.cast("long")))),
-    )
-    hexes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([xX][0-9a-fA-F]{1,6});"), 1))
-    numeric = F.aggregate(
-        hexes, numeric,
-        lambda acc, code: F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), char(F.substring(code, 2, 6))),
-    )
-    # Few texts hold numeric references, and many no reference at all.
-    named = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
-    for entity, plain in NAMED_ENTITIES.items():
-        named = F.replace(named, F.lit(entity), F.lit(plain))
-    return F.when(F.contains(text, F.lit("&")), F.replace(named, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    def numbered(code: Column) -> Column:
+        usable = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(F.when(usable, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(_constant_map(_WINDOWS), code.cast("string")), plain)
+
+    def decoded(name: Column) -> Column:
+        is_hex = F.lower(F.substring(name, 2, 1)) == "x"
+        code = F.when(is_hex, F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("long")
+        return F.when(name.startswith("#"), numbered(code)).otherwise(F.coalesce(
+            F.try_element_at(_constant_map(_NAMED), name), F.concat(F.lit("&"), name, F.lit(";"))))
+
+    between = F.split(text, _REFERENCE)
+    names = F.regexp_extract_all(text, F.lit(_REFERENCE), 1)
+    joined = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(decoded(F.get(names, i)), F.lit("")))), "")
+    # Many texts hold no reference at all.
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def one_line(text: Column | str) -> Column:

@@ -38,14 +38,19 @@ BLOCK_TAGS = ("h2", "h3", "h4", "strong", "p", "li")
 _OPENERS = "p|li|ul|ol|dl|h[1-6]|div|article|section|nav|header|footer|main|aside|table|form|hr"
 _CLOSERS = "ul|ol|dl|div|article|section|nav|header|footer|main|aside|table|form|body|html"
 _NEXT_BLOCK = rf"<(?:{_OPENERS})\b|</(?:{_CLOSERS})\b"
+# A list item keeps paragraphs and boxes inside it; another item, a list, a heading or the
+# end of its list ends it.
+_NEXT_ITEM = r"<(?:li|ul|ol|dl|h[1-6])\b|</(?:ul|ol|dl|body|html)\b"
 
 
 _ID_ATTRIBUTE = r"""(?i)\sid\s*=\s*["']?([^"'\s>]+)"""
 
 
 def _block_pattern(tags: Sequence[str]) -> str:
-    names = "|".join(tags)
-    return rf"(?is)<({names})\b([^>]*)>(.*?)(?=</\1\s*>|{_NEXT_BLOCK}|\z)"
+    names = "|".join(t for t in tags if t != "li")
+    block = rf"<({names})\b[^>]*>.*?(?=</\1\s*>|{_NEXT_BLOCK}|\z)"
+    item = rf"|<li\b[^>]*>.*?(?=</li\s*>|{_NEXT_ITEM}|\z)" if "li" in tags else ""
+    return f"(?is){block}{item}"
 
 
 def block_array(html: Column | str, tags: Sequence[str] = BLOCK_TAGS) -> Column:

@@ -262,7 +262,9 @@ def pages_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(number % 3 != 0, "<strong>Route:</strong>").otherwise(""),
     ))
     html = F.regexp_replace(html, '<li><a href="/([^"]*)">([^<]*)</a></li>', F.concat(
-        F.lit("<li>$2 "), F.when(number % 2 == 0, "between").otherwise("bet"), F.lit(" $1 and $2</li>")
+        F.when(number % 5 == 0, "<li><p>$2&rsquo;s ").otherwise("<li>$2&#146;s "),
+        F.when(number % 2 == 0, "between").otherwise("bet"), F.lit(" $1 &ndash; &#38;lt; and $2"),
+        F.when(number % 5 == 0, "</p></li>").otherwise("</li>"),
     ))
     html = F.replace(html, F.lit("<h1>"), F.lit('<h2 id="article">'))
     html = F.replace(html, F.lit("</h1>"), F.lit(

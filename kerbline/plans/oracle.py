@@ -259,7 +259,9 @@ BLOCKS["pages_marked"] = ((), r"""
       || '<h2 id="nav">East River Bridge Crossings</h2><h3>Navigation</h3>'
       || CASE WHEN page_id % 3 <> 0 THEN '<strong>Route:</strong>' ELSE '' END),
     '<li><a href="/([^"]*)">([^<]*)</a></li>',
-    CASE WHEN page_id % 2 = 0 THEN '<li>\2 between \1 and \2</li>' ELSE '<li>\2 bet \1 and \2</li>' END, 'g'),
+    CASE WHEN page_id % 5 = 0 THEN '<li><p>\2&rsquo;s ' ELSE '<li>\2&#146;s ' END
+      || CASE WHEN page_id % 2 = 0 THEN 'between' ELSE 'bet' END || ' \1 &ndash; &#38;lt; and \2'
+      || CASE WHEN page_id % 5 = 0 THEN '</p></li>' ELSE '</li>' END, 'g'),
     '<h1>', '<h2 id="article">'),
     '</h1>', '</h2><p>No place yet</p><h4>Body</h4><p>*Note: skipped</p><h3>Festivals, Parades and Events</h3>'),
     '</p>', ' from March 2nd, 2024 to March ' || (page_id % 35) || ', 2024</p>') AS html
@@ -267,12 +269,15 @@ BLOCKS["pages_marked"] = ((), r"""
 BLOCKS["page_pieces"] = (("pages_marked",), rf"""
   SELECT page_id, url, list_position, piece FROM (
     SELECT page_id, url, unnest(parts) AS piece, generate_subscripts(parts, 1) AS list_position FROM (
-      SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(html, '{_HIDDEN}', ' ', 'g'),
+      SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(
+        replace(replace(html, '<li><p>', '<li>'), '</p></li>', '</li>'), '{_HIDDEN}', ' ', 'g'),
         '(?i)<({_OPENERS}|strong)\b', chr(1) || '<\1', 'g'), '(?i)</({_CLOSERS})\b', chr(1) || '</\1', 'g'), chr(1)) AS parts
       FROM pages_marked))
   WHERE regexp_matches(piece, '(?i)^<(h2|h3|h4|strong|p|li)\b')""")
+# References decode once: an ampersand that comes out of one is put aside until the end.
 _entities = "x"
-for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&amp;", "&")):
+for _name, _char in (("&#38;", "\x02"), ("&#146;", "\u2019"), ("&rsquo;", "\u2019"), ("&ndash;", "\u2013"), ("&nbsp;", " "),
+                     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&amp;", "\x02"), ("\x02", "&")):
     _entities = f"replace({_entities}, '{_name}', '{_char}')"
 BLOCKS["blocks"] = (("page_pieces",), rf"""
   SELECT page_id, url, CAST(ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY list_position) - 1 AS INTEGER) AS pos, tag,

@@ -113,6 +113,35 @@ def test_date_mentions(spark, prose, days):
     assert spark.range(1).select(date_mentions(F.lit(prose)).alias("d")).first().d == days
 
 
+def test_list_items_keep_their_inner_blocks(spark):
+    html = ('<h2 id="a">S</h2><h3>L</h3><strong>Route:</strong><ul><li><p>Oak St between A</p><p>and B</p></li>'
+            "<li><div>Elm St</div> bet <b>C</b> and D<li>Fir St between E and F</ul><p>after</p>")
+    got = text.extract_page_entries(spark.createDataFrame([(1, html)], "page_id int, html string")).orderBy("pos")
+    assert [(r.advisory_text, r.detail_label, r.street_name) for r in got.collect()] == [
+        ("Oak St between A and B", "Route", "Oak St"), ("Elm St bet C and D", "Route", "Elm St bet C and D"),
+        ("Fir St between E and F", "Route", "Fir St"), ("after", None, None)]
+
+
+def test_references_are_decoded_once(spark):
+    import html
+
+    said = ("a&rsquo;s &ndash; &Eacute;t&eacute; &hellip;", "&#38;lt; &amp;amp; &#38;#38;", "&#146;&#x92;&#150;&#128;", "&#x1F600;&#xd800;&#1114112;",
+            "&nosuch; & &; &#; &#x; &#00000065;", "&NotEqualTilde;&lt;b&gt;", "", "no reference", "&amp;")
+    rows = spark.createDataFrame([(x,) for x in said], "t string")
+    from kerbline.functions.text import decode_entities
+    got = {r.t: r.d for r in rows.select("t", decode_entities("t").alias("d")).collect()}
+    for x in said:
+        assert got[x] == (html.unescape(x) if "00000065" not in x else x), x
+
+
+def test_labels_and_marker_are_parameters(spark):
+    from kerbline.functions.text import field_label, is_event_marker
+
+    row = spark.range(1).select(field_label(F.lit("Detour (a.b):"), ("Detour (a.b)",)).alias("own"), field_label(F.lit("Detour:")).alias("not"),
+                                is_event_marker(F.lit("Street Fairs"), "^Street Fairs$").alias("m")).first()
+    assert (row.own, row["not"], row.m) == ("Detour (a.b)", None, True)
+
+
 def test_segments(spark):
     rows = spark.createDataFrame([("A St BETWEEN B and C",), ("plain",), (None,)], "t string")
     assert records(rows.select(split_segment("t").alias("s")).select("s.*")) == [
