@@ -20,14 +20,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables that driver and executors all see.
+    """Folder for intermediate tables that driver and executors all see, one per application.
 
     ``spark.checkpoint.dir`` where the session has it. Otherwise the warehouse, which a
     cluster shares too; a temporary folder only where one machine is the whole cluster.
     """
     alone = spark.sparkContext.master.partition("[")[0] == "local"
     fallback = tempfile.gettempdir() if alone else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{checkpoint_dir(spark, fallback).rstrip('/')}/kerbline-llm"
+    return f"{checkpoint_dir(spark, fallback).rstrip('/')}/kerbline-llm/{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -42,13 +42,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` that no later plan reads."""
-    spark = df.sparkSession
     for path in {name.rpartition("/")[0] for name in df.inputFiles()}:
         if "/kerbline-llm/" in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written."""
+    _delete(spark, shared_dir(spark))
 
 
 def crc_mod(doc_id: str | Column, modulus: int) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbline.llm.common import crc_mod, pieces
+from kerbline.llm.common import crc_mod, pieces, stored
 
 #: Letters of reference text per language, and the longest text that goes into it.
 REFERENCE, LONGEST = 40_000, 10_000
@@ -165,7 +165,8 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id:
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("h")).filter(
         "lang IS NOT NULL AND text IS NOT NULL AND length(text) BETWEEN 1 AND " + str(LONGEST))
-    share = F.broadcast(rows.groupBy("lang").agg((F.lit(2.0 * letters) / F.sum(F.length("text"))).alias("share")))
+    # Stored, its size is known: a few languages are broadcast, any number is not.
+    share = stored(rows.groupBy("lang").agg((F.lit(2.0 * letters) / F.sum(F.length("text"))).alias("share")), "shares")
     some = rows.join(share, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.least(F.col("share"), F.lit(1.0)) * (1 << 30))
     out: dict[str, list[str]] = {}
     size: Counter = Counter()
