@@ -120,9 +120,13 @@ def explicit_schema(spark, sf_dir):
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    """Folder of a table that a query stores, shared on a cluster; a later run writes over it."""
+    """Empty folder for a table that a query stores, shared on a cluster; what an earlier run
+    or session left there goes."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return f"{checkpoint_dir(spark, spark.conf.get('spark.sql.warehouse.dir'))}/kerbline-tables/{name}"
+    path = f"{checkpoint_dir(spark, spark.conf.get('spark.sql.warehouse.dir'))}/kerbline-tables/{name}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return path
 
 
 @query("SNK-1_table_roundtrip", o.statement("SELECT * FROM fact", "fact"))
