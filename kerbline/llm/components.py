@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from kerbline.llm.common import discard, stored
 
 
+def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with the least node of u, from a stored table.
+
+    As the least nodes are stored, both sides are shuffled for the join, or the small one is
+    broadcast, and a node with a third of all links is a partition that adaptive
+    execution splits. Aggregated and joined in one stage, it would be one task's.
+    """
+    return edges.join(least, "u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return _joined(both.filter("v > u"), least).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    rest = down.join(least, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    rest = _joined(down, least).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return rest.union(least.select("u", "m"))
 
 
@@ -32,7 +42,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
     now, seen = stored(links, "links"), None
     while True:
-        after = stored(_small_star(_large_star(now)).distinct(), "links")
+        large = stored(_large_star(now), "links")
+        after = stored(_small_star(large).distinct(), "links")
+        discard(large)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)
         now = after
