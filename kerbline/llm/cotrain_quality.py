@@ -215,6 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: in
     y = np.array([r["label"] for r in rows], int)
     x, m = (np.frombuffer(b"".join(bytes(r[c]) for r in rows), np.float32).reshape(len(rows), n) for c, n in (("x", SHAPE), ("m", META)))
     apart = np.array([zlib.crc32(str(r["doc_id"]).encode()) % APART == 0 for r in rows], bool)
+    del rows  # the arrays hold what is needed
     mine, seen = y >= 0, Counter(y.tolist())
     if any(not ((y == v) & part).any() for v in (0, 1) for part in (apart, ~apart)):
         return Model(None, prior)
