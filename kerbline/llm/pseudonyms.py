@@ -178,12 +178,18 @@ def _date(f: Feistel, m: re.Match, back: bool) -> str | None:
             continue
         if not FIRST <= when <= LAST:
             return None
+        # A field written with one digit keeps one; dates of the same widths are permuted among themselves.
+        short = [k for k, d in (("d", day), ("m", month)) if len(d) == 1]
         month_first = year_first or (month, day) == (x, z) and mark == "/" and orders.index((month, day)) == 1
         # Either reading of a/b/c is kept in its own kind, where it stays the only one or the first.
         kind = "date" if not month_first or year_first else "date-us"
-        stays = (lambda d: True) if kind == "date" else lambda d: (FIRST + timedelta(d)).day > 12
-        got = FIRST + timedelta(f.number(kind, (when - FIRST).days, DAYS, stays, back))
-        yy, mm, dd = f"{got.year:04d}", f"{got.month:02d}", f"{got.day:02d}"
+
+        def stays(d: int, us: bool = kind == "date-us", short: list[str] = short) -> bool:
+            x = FIRST + timedelta(d)
+            return (not us or x.day > 12) and ("d" not in short or x.day < 10) and ("m" not in short or x.month < 10)
+
+        got = FIRST + timedelta(f.number("-".join([kind, *short]), (when - FIRST).days, DAYS, stays, back))
+        yy, mm, dd = f"{got.year:04d}", f"{got.month:0{len(month)}d}", f"{got.day:0{len(day)}d}"
         return mark.join((yy, mm, dd) if year_first else (mm, dd, yy) if month_first else (dd, mm, yy))
     return None
 
@@ -193,11 +199,17 @@ def _mail(f: Feistel, m: re.Match, back: bool) -> str | None:
     return f"{_by_class(f, 'mail', local, back)}@{host}"
 
 
+#: Longer secrets are permuted in stretches of so many characters.
+_STRETCH = 128
+
+
 def _secret(f: Feistel, m: re.Match, back: bool) -> str | None:
     value = m["value"]
     if not any(c in TEN for c in value):
         return None
-    if re.fullmatch(r"\d+|[0-9a-f]+", value):
+    if len(value) > _STRETCH:
+        got = "".join(_by_class(f, f"secret-{k}", value[k:k + _STRETCH], back) for k in range(0, len(value), _STRETCH))
+    elif re.fullmatch(r"\d+|[0-9a-f]+", value):
         mixed = not value.isdigit()
         got = f.digits("secret", value, TEN + "abcdef" * mixed,
                        lambda x: not mixed or not (x.isdigit() or x.isalpha()), back)
@@ -211,21 +223,24 @@ def _access_key(f: Feistel, m: re.Match, back: bool) -> str | None:
 
 
 #: Kind, pattern, replacement; the first whose check passes is taken at a place. Every
-#: repetition is bounded and begins where its run begins, so long runs cost linear time.
+#: repetition is bounded and begins where its run begins, so long runs cost linear time. Only a
+#: secret's is not: it is taken whole, and where it has no digit its run is not tried again.
 KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("mail", r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])", _mail),
     ("access_key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", _access_key),
-    ("secret", r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_-]{8,128})", _secret),
+    ("secret", r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.=-]{8,}(?<!\.))", _secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban),
-    ("date", r"(?<![\w/.-])(?P<a>\d{4}(?=[-/.]\d\d[-/.]\d\d(?!\d))|\d{2}(?=[-/.]\d\d[-/.]\d{4}(?!\d)))(?P<mark>[-/.])(?P<b>\d{2})(?P=mark)(?P<c>\d{2,4})(?![\w/-]|\.\d)", _date),
+    ("date", r"(?<![\w/.-])(?P<a>\d{4}(?=[-/.]\d\d?[-/.]\d\d?(?!\d))|\d\d?(?=[-/.]\d\d?[-/.]\d{4}(?!\d)))(?P<mark>[-/.])(?P<b>\d\d?)(?P=mark)(?P<c>\d{1,4})(?![\w/-]|\.\d)", _date),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _address),
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)", _card),
     ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,4}){1,6}(?!\w)|(?<![\w(.-])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?![\w-])", _phone),
 )
 
-_SOME = re.compile(r"[0-9@]|AKIA")
-_ANY = re.compile("|".join(f"(?P<k{k}>{p.replace('?P<', f'?P<k{k}_').replace('(?P=', f'(?P=k{k}_')})" for k, (_, p, _) in enumerate(KINDS)))
+_SOME = re.compile(r"[0-9@:=]|AKIA")
+_NAMED = [(kind, f"(?P<k{k}>{p.replace('?P<', f'?P<k{k}_').replace('(?P=', f'(?P=k{k}_')})") for k, (kind, p, _) in enumerate(KINDS)]
+_ANY = re.compile("|".join(p for _, p in _NAMED))
+_NO_SECRET = re.compile("|".join(p for kind, p in _NAMED if kind != "secret"))
 _EACH = [re.compile(p) for _, p, _ in KINDS]
 
 
@@ -235,11 +250,11 @@ _BEFORE = 160
 
 def replace(text: str, f: Feistel, back: bool = False) -> tuple[str, list[str]]:
     """The text with pseudonyms for its private values (or, ``back``, the values) and their kinds in order."""
-    out, found, at, look = [], [], 0, 0
+    out, found, at, look, barren = [], [], 0, 0, 0
     while sign := _SOME.search(text, look):
         place, after = max(look, sign.start() - _BEFORE), sign.start() + 1
         while place < after:
-            m = _ANY.match(text, place)
+            m = (_ANY if place >= barren else _NO_SECRET).match(text, place)
             place += 1
             for k in range(int(m.lastgroup[1:].partition("_")[0]), len(KINDS)) if m else ():
                 one = _EACH[k].match(text, m.start())
@@ -248,6 +263,8 @@ def replace(text: str, f: Feistel, back: bool = False) -> tuple[str, list[str]]:
                     at = place = after = one.end()
                     found.append(KINDS[k][0])
                     break
+                if one and KINDS[k][0] == "secret":
+                    barren = one.end()  # no digit up to there
         look = after
     return "".join([*out, text[at:]]), found
 

@@ -97,3 +97,28 @@ def test_documents(spark):
     assert ps.pseudonymise(docs.limit(0), b"k").collect() == []
     with pytest.raises(ValueError):
         ps.Feistel(b"")
+
+
+@pytest.mark.parametrize("value", ["aB3" * 70, "a" * 300 + "7", "eyJh1.eyJz2dWIi.c2ln_bmF-0dXJl", "Zm9vYmFyMTIzNDU2Nzg5MA==", "1" * 20_000])
+def test_secrets_are_taken_whole(value):
+    got, kinds = ps.replace(f"token={value}. After", F)
+    assert kinds == ["secret"] and len(got) == len(f"token={value}. After")
+    parts = lambda x: re.findall("[A-Za-z0-9]{6,}", x)
+    shown = got.removeprefix("token=").removesuffix(". After")
+    assert all(x not in shown for x in parts(value)) and shown[-20:] != value[-20:] and "After" in got
+    assert ps.replace(got, F, back=True)[0] == f"token={value}. After"
+
+
+def test_secrets_take_linear_time():
+    for part in ("token=", "token=.", "secret=a/", "token=1"):
+        began = time.process_time()
+        ps.replace(part * 60_000, F)
+        assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("written", ["3/4/1999", "13/4/1999", "4/13/1999", "4/31/1999", "1999-3-4", "3.4.1999", "03/4/1999", "12/5/2001"])
+def test_dates_of_one_digit(written):
+    got, kinds = ps.replace(f"on {written}.", F)
+    assert kinds == (["date"] if written != "4/31/1999" else []) and (got != f"on {written}.") == bool(kinds)
+    assert re.sub(r"\d", "9", got) == re.sub(r"\d", "9", f"on {written}.")
+    assert ps.replace(got, F, back=True) == (f"on {written}.", kinds)
