@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kerbline.llm import chat_format, chunk_fingerprint, cotrain_quality, decontaminate, entropy_mix, langid, pseudonyms, simhash, toxicity, warc_zst
+from kerbline.llm import hard_negatives as mining, prefix_trie, sharding
 from kerbline.llm.common import documents
 
 
@@ -120,6 +121,89 @@ FROM p JOIN first USING (h) JOIN digit USING (h)
 """
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.hard_negatives(documents(spark, sf_dir, "embeddings"))
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT a.vec_id AS anchor_id, a.r AS anchor, b.vec_id AS id, b.r, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+positive AS (SELECT * FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id, r) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN pair n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.id, n.r)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(documents(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of a byte list ``b``, by its table of 256 steps.
+_CRC_TABLE = """crc AS MATERIALIZED (
+  SELECT list(c ORDER BY n) AS t
+  FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) r(n)))"""
+
+
+def _crc(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+#: Prefixes as lists; every node's count and value is added to all prefixes of its list.
+TRIE_SQL = f"""
+WITH {_CRC_TABLE},
+turns AS (
+  SELECT conv_id, {{'role': COALESCE(role, ''), 'text': COALESCE(text, '')}} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+said AS (SELECT conv_id, list(said ORDER BY k) AS q FROM turns GROUP BY conv_id),
+plan AS (SELECT conv_id, q, conv_id - conv_id % 100 AS head, {_crc("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM said, crc),
+conv AS (SELECT p.conv_id, list_concat(COALESCE(s.q, [])[1:h], p.q[h + 1:]) AS q FROM plan p LEFT JOIN said s ON s.conv_id = p.head),
+member AS (SELECT conv_id, d, q[1:d] AS path, d = len(q) AS ends FROM (SELECT conv_id, q, unnest(generate_series(0, len(q))) AS d FROM conv)),
+node AS (
+  SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM member GROUP BY path),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+valued AS (
+  SELECT n.path, n.depth, k.n_children IS NULL AS leaf, CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * length(n.path[-1].text) END AS saved
+  FROM node n LEFT JOIN kids k USING (path)),
+sums AS (
+  SELECT path[1:d] AS path, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(generate_series(0, depth)) AS d FROM valued) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, COALESCE(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM node n LEFT JOIN kids k USING (path) JOIN sums s USING (path) LEFT JOIN node p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
+"""
+
+
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir))
+
+
+#: The whole order at once: a document's shard is where the middle of its bytes lies.
+SHARDS_SQL = f"""
+WITH {_CRC_TABLE},
+doc AS (SELECT doc_id, COALESCE(text, '') AS text, octet_length(encode(COALESCE(text, ''))) + 8 AS size FROM documents),
+placed AS (
+  SELECT doc_id, text, size, CAST('0x' || left(sha256(text), 15) AS BIGINT) AS a, sum(size) OVER o - size AS before, sum(size) OVER () AS total
+  FROM doc WINDOW o AS (ORDER BY CAST('0x' || left(sha256(text), 15) AS BIGINT), doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+dealt AS (SELECT *, CAST(least((2 * before + size) * 24 // (2 * total), 23) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST({_crc("text")} AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY a, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt, crc
+"""
+
+
 #: name -> (query, SQL or None)
 CATALOG = {
     "op1_entropy_mix": (source_mix, None),
@@ -132,4 +216,7 @@ CATALOG = {
     "op8_pseudonyms": (private_values, None),
     "op9_chat_digests": (chat_digests, CHAT_SQL),
     "op10_warc_archive": (warc_archive, WARC_SQL),
+    "op11_hard_negatives": (hard_negatives, NEGATIVES_SQL),
+    "op12_conversation_trie": (conversation_trie, TRIE_SQL),
+    "op13_shards": (shards, SHARDS_SQL),
 }

@@ -26,4 +26,4 @@ def test_query_covers_its_table(spark, small_sf, name, columns):
 
 
 def test_numbers_are_all_there():
-    assert {n.split("_")[0] for n in CATALOG} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in CATALOG} == {f"op{k}" for k in range(1, 14)}
