@@ -25,11 +25,14 @@ from kerbline.operators import (
     quality,
     rollup,
     rules,
+    sighting_state as states,
 )
 from kerbline.plans import feeds, oracle as o
 from kerbline.plans.layers import BI_TABLES
 from kerbline.session import checkpoint_dir
 from kerbline.sources import readers, tables
+from kerbline.sources.cells import CellTable
+from kerbline.streaming import sightings as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
@@ -362,6 +365,27 @@ def apply_sightings(spark, sf_dir):
     return hist.apply_sightings(early, seen).drop("ingested_at")
 
 
+@query("HIST-4_late_scrapes", o.statement("SELECT * FROM history", "history"))
+def late_scrapes(spark, sf_dir):
+    """Late scrapes first, the early ones land behind them, one day again: the state does not depend on the order."""
+    seen = feeds.sightings(spark, sf_dir)
+    held = states.merge_state(states.empty_state(spark), seen.filter(F.col("scrape_dt") >= _OLD))
+    held = states.merge_state(held, seen.filter(F.col("scrape_dt") < _OLD))
+    return states.as_history(states.merge_state(held, hist.latest_batch(seen, "scrape_dt"))).drop("ingested_at")
+
+
+@query("HIST-4_cell_upsert", o.statement("SELECT * FROM history", "history"))
+def cell_upsert(spark, sf_dir):
+    """Late scrapes stored in cells, the early ones merged into them, the newest one again."""
+    seen = feeds.sightings(spark, sf_dir)
+    name = "kerbline_hist_4_cells"
+    spark.sql(f"DROP VIEW IF EXISTS {name}")
+    cells = CellTable(spark, name, _place(spark, f"{name}_files"), hist.KEY, "is_current", 16)
+    for part in (seen.filter(F.col("scrape_dt") >= _OLD), seen.filter(F.col("scrape_dt") < _OLD), hist.latest_batch(seen, "scrape_dt")):
+        streaming.merge_sightings(cells, part)
+    return states.as_history(cells.read()).drop("ingested_at")
+
+
 @query("HIST-5_close_missing", o.statement("SELECT closure_bk, is_current FROM history", "history"))
 def close_missing(spark, sf_dir):
     held = feeds.history(spark, sf_dir)
@@ -417,6 +441,36 @@ def current_only(spark, sf_dir):
     return hist.current_only(feeds.history(spark, sf_dir)).drop("ingested_at")
 
 
+_SCRAPES = "SELECT scrape_dt, lag(scrape_dt) OVER (ORDER BY scrape_dt) AS before_dt FROM (SELECT DISTINCT scrape_dt FROM sightings)"
+
+
+@query("HIST-9_validity", o.statement(f"""
+SELECT f.closure_bk, f.scrape_dt AS valid_from, f.valid_to,
+       (SELECT COUNT(*) FROM sightings s WHERE s.closure_bk = f.closure_bk AND s.scrape_dt >= f.scrape_dt
+        AND (f.valid_to IS NULL OR s.scrape_dt < f.valid_to)) AS scrapes
+FROM (SELECT s.closure_bk, s.scrape_dt, (
+        SELECT MIN(d.scrape_dt) FROM (SELECT DISTINCT scrape_dt FROM sightings) d WHERE d.scrape_dt > s.scrape_dt
+        AND NOT EXISTS (SELECT 1 FROM sightings x WHERE x.closure_bk = s.closure_bk AND x.scrape_dt = d.scrape_dt)) AS valid_to
+      FROM sightings s JOIN ({_SCRAPES}) d USING (scrape_dt)
+      WHERE NOT EXISTS (SELECT 1 FROM sightings p WHERE p.closure_bk = s.closure_bk AND p.scrape_dt = d.before_dt)) f""", "sightings"))
+def validity(spark, sf_dir):
+    return states.validity(states.merge_state(states.empty_state(spark), feeds.sightings(spark, sf_dir)))
+
+
+@query("HIST-9_asked", o.statement("""
+SELECT a.closure_bk, a.day, EXISTS (
+  SELECT 1 FROM sightings s WHERE s.closure_bk = a.closure_bk
+  AND s.scrape_dt = (SELECT MAX(scrape_dt) FROM sightings WHERE scrape_dt <= a.day)) AS shown
+FROM (SELECT DISTINCT closure_bk, CAST(scrape_dt + CAST(k AS INTEGER) AS DATE) AS day
+      FROM sightings, (VALUES (-1), (0), (3), (9), (200)) v(k)) a""", "sightings"))
+def asked(spark, sf_dir):
+    """Around each sighting: whether the page showed the advisory the day before, then, and some days after."""
+    seen = feeds.sightings(spark, sf_dir)
+    intervals = states.validity(states.merge_state(states.empty_state(spark), seen))
+    asks = seen.select("closure_bk", F.expr("explode(transform(array(-1, 0, 3, 9, 200), k -> date_add(scrape_dt, k)))").alias("day")).distinct()
+    return states.asked(intervals, asks)
+
+
 # --- cleaning ---------------------------------------------------------------------------------
 
 _DOUBLES = ("RatecodeID", "passenger_count", "trip_distance", "fare_amount", "extra", "mta_tax", "tip_amount", "tolls_amount",
