@@ -9,10 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.functions.numeric import as_column, rounded
-from kerbline.operators.joins import lookup_join
 
 #: Shape of every result row.
 RESULT_COLUMNS = ("column", "data_quality_check", "failed_rows", "total_rows", "percentage", "status")
@@ -140,63 +139,65 @@ def key_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _row_hash(df: DataFrame) -> Column:
-    """64-bit hash under which rows that compare equal are equal (0.0 and -0.0 do)."""
-    return F.xxhash64(*[
-        F.col(f"`{f.name}`") + F.lit(0.0) if f.dataType.simpleString() in ("double", "float") else F.col(f"`{f.name}`")
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a whole row: equal for rows that compare equal (0.0 and -0.0 do), and for no others."""
+    return F.sha2(F.to_json(F.struct(*[
+        (F.col(f"`{f.name}`") + F.lit(0.0)).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f"`{f.name}`")
         for f in df.schema
-    ])
+    ])), 256)
 
 
 def duplicate_rows(df: DataFrame, policy: Policy = FAIL_ON_ANY, empty_percentage: float | None = 0.0) -> DataFrame:
     """Whole-row duplicates: rows minus distinct rows.
 
-    Only a hash per row is shuffled. Where hashes repeat (counted first), just the rows with
-    such a hash are compared in full, so the count is exact and unique input moves no rows.
+    One scan; a digest per row is counted, first within each task, so copies of one row do not
+    travel and full rows never do.
     """
-    per_hash = df.select(_row_hash(df).alias("_h")).groupBy("_h").agg(F.expr("count(1) AS _n"))
-    repeated = per_hash.filter("_n > 1").select("_h")
-    rows = per_hash.agg(F.expr("coalesce(sum(_n), 0) AS _rows"))
-    if repeated.isEmpty():
-        counted = rows.withColumn("_surplus", F.lit(0).cast("long"))
-    else:
-        lookup = repeated.withColumn("_again", F.lit(True))
-        again = lookup_join(df.withColumn("_h", _row_hash(df)), lookup, ["_h"], how="inner").drop("_h", "_again")
-        surplus = again.groupBy(*df.columns).agg(F.expr("count(1) AS _n")).agg(F.expr("coalesce(sum(_n - 1), 0) AS s")).scalar()
-        counted = rows.withColumn("_surplus", surplus)
+    per_row = df.select(row_digest(df).alias("_h")).groupBy("_h").agg(F.expr("count(1) AS _n"))
     return run_checks(
-        counted, [Check("ALL_COLUMNS", "Uniqueness", "sum(_surplus)", policy, "sum(_rows)")], empty_percentage=empty_percentage
+        per_row, [Check("ALL_COLUMNS", "Uniqueness", "coalesce(sum(_n - 1), 0)", policy, "coalesce(sum(_n), 0)")], empty_percentage=empty_percentage
     )
 
 
-#: Ranges that exact order statistics are first counted in.
-_RANGES = 256
+#: Ranges into which a range that holds a rank is split, and how often: a binade of doubles
+#: (2**52 values) comes down to a few values.
+_SPLIT, _ROUNDS = 1 << 16, 3
 
 
-def order_statistics(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
-    """One row ``q``: the exact values at rank ceil(share * n) of the non-NULL values.
+def order_statistics(df: DataFrame, columns: str | Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(column, q) per numeric column: the exact values at rank ceil(share * n) of its non-NULL values.
 
-    Values are counted, and the counts are summed over ranges whose bounds a sketch gives.
-    Only the range that holds a rank is put in order, so no task orders all values; the
-    sketch decides where ranges end, never the result.
+    Values of all columns are counted in one scan. Ranks are then closed in on: by power of
+    two, then by splitting the one range that holds the rank into equal parts, of which the
+    counts are summed. No task puts more than ``_SPLIT`` ranges in order, however many values
+    there are; splitting is monotone in the value, so rounding moves no rank. A column
+    without values has no row. NaN comes last.
     """
-    counts = df.filter(f"`{column}` IS NOT NULL").groupBy(F.col(column).alias("_v")).agg(F.expr("count(1) AS _n"))
-    steps = ", ".join(str(k / _RANGES) for k in range(1, _RANGES))
-    bounds = df.agg(F.expr(f"array_distinct(percentile_approx(`{column}`, array({steps}), 1000)) AS b")).scalar()
-    ranged = counts.withColumn("_bounds", bounds).withColumn(
-        "_range", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
-    totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_all")).withColumns({
-        "_before": F.sum("_all").over(Window.orderBy("_range")) - F.col("_all"),
-        "_rows": F.sum("_all").over(Window.partitionBy()),
-    })
-    wanted = totals.select("_range", "_before", "_all", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("_rows"))).alias("rank"))
-        for i, share in enumerate(shares)
-    ])).alias("_w")).filter("_w.rank > _before AND _w.rank <= _before + _all").select("_range", "_before", "_w.*")
-    inside = Window.partitionBy("_range", "i").orderBy("_v")
-    reached = ranged.join(wanted, "_range").withColumn("_upto", F.col("_before") + F.sum("_n").over(inside)).filter(
-        "_upto >= rank AND _upto - _n < rank")
-    return reached.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_v"))), lambda r: r["_v"]).alias("q"))
+    names = [columns] if isinstance(columns, str) else list(columns)
+    stacked = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in names)
+    counts = df.selectExpr(f"stack({len(names)}, {stacked}) AS (_c, _v)").filter("_v IS NOT NULL").groupBy("_c", "_v").agg(F.expr("count(1) AS _n"))
+    ranks = ", ".join(f"struct({i} AS i, greatest(1, CAST(ceil({share}D * _all) AS BIGINT)) AS rank)" for i, share in enumerate(shares))
+    # A rank's state: the values it lies between, and its rank among them.
+    power = ("CASE WHEN isnan(_v) THEN 3000 WHEN _v = 0 THEN 0 "
+             "ELSE CAST(signum(_v) * (1100 + floor(least(log2(abs(_v)), 1025D))) AS INT) END")
+    first = counts.groupBy("_c", F.expr(power).alias("_k")).agg(F.expr("sum(_n) AS _m"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"))
+    first = first.withColumn("_all", F.expr("sum(_m) OVER (PARTITION BY _c)")).withColumn("_r", F.expr(f"explode(array({ranks}))"))
+    state = _holding(first.selectExpr("_c", "_r.i AS i", "_r.rank AS rank", "_k", "_m", "_lo", "_hi"))
+    for _ in range(_ROUNDS):
+        part = f"IF(_to > _from, CAST(floor((_v - _from) / (_to - _from) * {_SPLIT}D) AS INT), 0)"
+        inside = counts.join(F.broadcast(state), "_c").filter("_v BETWEEN _from AND _to").groupBy("_c", "i", "rank", F.expr(part).alias("_k")).agg(
+            F.expr("sum(_n) AS _m"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"))
+        state = _holding(inside)
+    last = counts.join(F.broadcast(state), "_c").filter("_v BETWEEN _from AND _to")
+    found = _holding(last.selectExpr("_c", "i", "rank", "_v AS _k", "_n AS _m", "_v AS _lo", "_v AS _hi"))
+    return found.groupBy(F.col("_c").alias("column")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "_from"))), lambda r: r["_from"]).alias("q"))
+
+
+def _holding(parts: DataFrame) -> DataFrame:
+    """(_c, i, rank, _from, _to): of each rank's parts (_k, _m, _lo, _hi) the one that holds it, and the rank within. A few rows a column."""
+    upto = parts.withColumn("_upto", F.expr("sum(_m) OVER (PARTITION BY _c, i ORDER BY _k)"))
+    return upto.filter("_upto >= rank AND _upto - _m < rank").selectExpr("_c", "i", "rank - (_upto - _m) AS rank", "_lo AS _from", "_hi AS _to")
 
 
 def iqr_bounds(df: DataFrame, column: str, accuracy: int | None = None, factor: float = 1.5) -> DataFrame:
@@ -206,7 +207,7 @@ def iqr_bounds(df: DataFrame, column: str, accuracy: int | None = None, factor:
     ``rows / accuracy``.
     """
     if accuracy is None:
-        quartiles = order_statistics(df, column, (0.25, 0.75)).selectExpr("IF(size(q) = 2, q, NULL) AS q")
+        quartiles = order_statistics(df, column, (0.25, 0.75)).agg(F.max("q").alias("q"))
     else:
         quartiles = df.agg(F.expr(f"percentile_approx(`{column}`, array(0.25, 0.75), {accuracy}) AS q"))
     return quartiles.selectExpr(

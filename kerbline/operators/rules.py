@@ -97,11 +97,11 @@ def trip_rules(window_start: str, window_end: str, lower: Column, upper: Column)
 def trip_checks(trips: DataFrame, window_start: str, window_end: str, accuracy: int | None = None) -> DataFrame:
     """All 26 trip checks: the row rules in one scan, plus whole-row duplicates.
 
-    Quartile bounds enter as scalar subqueries; they are exact unless ``accuracy`` asks for a
+    Quartile bounds enter as one scalar subquery; they are exact unless ``accuracy`` asks for a
     sketch.
     """
-    bounds = iqr_bounds(trips, "trip_distance", accuracy)
-    rules = trip_rules(window_start, window_end, bounds.select("lower").scalar(), bounds.select("upper").scalar())
+    bounds = iqr_bounds(trips, "trip_distance", accuracy).select(F.struct("lower", "upper").alias("b")).scalar()
+    rules = trip_rules(window_start, window_end, bounds["lower"], bounds["upper"])
     return _stack([run_checks(trips, rules, empty_percentage=0.0), duplicate_rows(trips)])
 
 

@@ -810,6 +810,18 @@ def iqr_bounds(spark, sf_dir):
     return quality.iqr_bounds(feeds.table(spark, sf_dir, "events"), "value")
 
 
+_RANKED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("DQ-3_order_statistics", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {i} AS place, CAST(quantile_disc({c}, {share}) AS DOUBLE) AS value FROM lineitem"
+    for c in _RANKED for i, share in enumerate((0.01, 0.25, 0.5, 0.75, 0.999))))
+def order_statistics(spark, sf_dir):
+    """Exact quantiles of four columns in one scan."""
+    found = quality.order_statistics(feeds.table(spark, sf_dir, "lineitem"), _RANKED, (0.01, 0.25, 0.5, 0.75, 0.999))
+    return found.select("column", F.posexplode("q").alias("place", "value"))
+
+
 _COPIED = "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 7)"
 
 

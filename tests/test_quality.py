@@ -197,7 +197,42 @@ def test_quartiles_are_exact_at_any_size(spark):
     assert (same.lower, same.upper) == (2.5, 2.5)
 
 
-def test_duplicates_are_found_by_hash_first(spark):
+def test_order_statistics_of_odd_values(spark, monkeypatch):
+    """Several columns in one scan: all magnitudes, infinities, NaN, many copies; few parts a split."""
+    rng = __import__("random").Random(3)
+    wide = [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(400)] + [0.0, -0.0, float("inf"), float("-inf"), float("nan"), 5e-324]
+    near = [1e9 + rng.randrange(2**20) / 2**20 for _ in wide]
+    hot = [7.0 if rng.random() < 0.6 else float(rng.randrange(50)) for _ in wide]
+    rows = [(w, n, h, None, int(h) if h < 30 else None) for w, n, h in zip(wide, near, hot)]
+    df = spark.createDataFrame(rows, "wide double, near double, hot double, none double, whole int")
+    shares = (0.0, 0.001, 0.25, 0.5, 0.9, 1.0)
+    last = lambda v: (v != v, 0.0 if v != v else v)
+
+    def at(values, share):
+        ordered = sorted((v for v in values if v is not None), key=last)
+        return ordered[max(1, __import__("math").ceil(share * len(ordered))) - 1]
+
+    columns = dict(zip(("wide", "near", "hot", "none", "whole"), zip(*rows)))
+    for split in (1 << 16, 4):
+        monkeypatch.setattr(quality, "_SPLIT", split)
+        got = {r["column"]: r.q for r in quality.order_statistics(df, list(columns), shares).collect()}
+        assert set(got) == {"wide", "near", "hot", "whole"}
+        for name, q in got.items():
+            assert list(map(last, q)) == [last(float(at(columns[name], s))) for s in shares], name
+
+
+def test_trip_checks_scan_little(spark, tmp_path):
+    rows = clean.clean_trips([trips(spark, *[trip(trip_distance=float(k)) for k in range(20)], *[trip()] * 40)], START, END)
+    rows.write.parquet(str(tmp_path / "trips"))
+    checks = rules.trip_checks(spark.read.parquet(str(tmp_path / "trips")), START, END)
+    got = {(r["column"], r.data_quality_check): r.failed_rows for r in checks.collect()}
+    assert got["ALL_COLUMNS", "Uniqueness"] >= 39  # one row is two thirds of the table
+    plan = checks._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") - final.count("ReusedSubquery") <= 4
+
+
+def test_duplicates_are_found_by_digest(spark):
     unique = spark.range(2000).selectExpr("id", "repeat('x', 200) AS wide", "CAST(id AS DOUBLE) AS d")
     found = quality.duplicate_rows(unique)
     assert found.first().failed_rows == 0
