@@ -22,6 +22,7 @@ from kerbline.operators import (
     history as hist,
     mart,
     profile,
+    profile_sketch,
     quality,
     rollup,
     rules,
@@ -769,6 +770,22 @@ def profile_lineitem(spark, sf_dir):
     return profile.profile(feeds.table(spark, sf_dir, "lineitem"), "lineitem")
 
 
+_SKETCHED = ("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+
+
+@query("PRF-1_sketch_batches", "\nUNION ALL ".join(f"""
+SELECT 'lineitem' AS table_name, '{c}' AS column_name, SUM(n) AS total_rows, SUM(n) FILTER (v IS NULL) IS NOT NULL AS has_nulls,
+       COUNT(v) AS distinct_count, MAX(n) AS most_common_rows, CAST(MIN(v) AS VARCHAR) AS min_value, CAST(MAX(v) AS VARCHAR) AS max_value
+FROM (SELECT {c} AS v, COUNT(*) AS n FROM lineitem GROUP BY 1)""" for c in _SKETCHED))
+def sketch_batches(spark, sf_dir):
+    """Order lines in four batches, each sketched by itself; columns of few values, for which merged sketches are exact."""
+    lines = feeds.table(spark, sf_dir, "lineitem").select(*_SKETCHED)
+    batches = [(f"batch {k}", lines.filter(f"l_linenumber % 4 = {k}")) for k in range(4)]
+    found = profile_sketch.estimates(profile_sketch.sketch_batches(batches, "lineitem"))
+    return found.select("table_name", "column_name", "total_rows", (F.col("null_count") > 0).alias("has_nulls"), "distinct_count",
+                        "most_common_rows", "min_value", "max_value")
+
+
 @query("PRF-2_profile_all", "\nUNION ALL\n".join(
     _profile_sql(t, c, _THOUSANDTHS if t == "embeddings" else None) for t, c in _COLUMNS.items()))
 def profile_all(spark, sf_dir):
