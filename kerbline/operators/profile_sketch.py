@@ -13,12 +13,12 @@ extremes are exact.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from kerbline.functions.numeric import rounded
+from kerbline.sources.tables import replace_partition, sql_text
 
 #: Registers of a distinct sketch (as a power of two), values tracked for the most common one, size of a quantile sketch.
 LG_K, TRACKED, QUANTILE_K = 12, 1024, 200
@@ -56,7 +56,7 @@ def column_sketches(df: DataFrame, table: str, batch: str) -> DataFrame:
             return ", ".join(f"CAST({f'{end}_{i}' if wanted else 'NULL'} AS {kind}) AS {end}_{kind.lower()}" for end in ("low", "high"))
 
         rows.append(
-            f"struct({_quoted(field.name)} AS column_name, '{field.dataType.simpleString()}' AS data_type, n AS total_rows, n - held_{i} AS null_count, "
+            f"struct({sql_text(field.name)} AS column_name, '{field.dataType.simpleString()}' AS data_type, n AS total_rows, n - held_{i} AS null_count, "
             f"{extreme('BIGINT', whole)}, {extreme('DOUBLE', number and not whole)}, {extreme('STRING', not number)}, "
             f"hll_{i} AS hll, top_{i} AS top, {f'kll_{i}' if number else 'CAST(NULL AS BINARY)'} AS kll)")
     return df.agg(*[F.expr(x) for x in figures]).selectExpr(f"inline(array({', '.join(rows)}))").select(
@@ -90,21 +90,8 @@ def profile_batch(df: DataFrame, table: str, batch: str, store: str) -> DataFram
 
     One folder per table and batch: nothing else is read or rewritten.
     """
-    spark = df.sparkSession
     rows = column_sketches(df, table, batch).coalesce(1)
-    if not spark.catalog.tableExists(store):
-        rows.limit(0).write.format("parquet").partitionBy("table_name", "batch_id").saveAsTable(store)
-    columns = [c for c in spark.table(store).columns if c not in ("table_name", "batch_id")]
-    staged = f"_sketches_{uuid.uuid4().hex}"
-    rows.select(*columns).createTempView(staged)
-    spark.sql(f"INSERT OVERWRITE TABLE {store} PARTITION (table_name = {_quoted(table)}, batch_id = {_quoted(batch)}) "
-              f"SELECT {', '.join(f'`{c}`' for c in columns)} FROM {staged}")
-    spark.catalog.dropTempView(staged)
-    return spark.table(store)
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return replace_partition(rows, store, {"table_name": table, "batch_id": batch})
 
 
 def sketch_profile(df: DataFrame, table: str) -> DataFrame:

@@ -17,6 +17,7 @@ from kerbline.functions.timekeys import date_hour_key
 from kerbline.operators import (
     advisory_text as text,
     bi,
+    check_state,
     clean,
     dedup,
     history as hist,
@@ -820,6 +821,26 @@ def trip_checks(spark, sf_dir):
     return rules.trip_checks(feeds.trips(spark, sf_dir), *feeds.WINDOW)
 
 
+_LINE_CHECKS = (
+    quality.passes("l_quantity", "Validity", "l_quantity <= 45", quality.WARN_ON_ANY),
+    quality.passes("l_discount", "Accuracy", "l_discount <= 0.09", quality.BY_PERCENT),
+    quality.fails("l_tax", "Validity", "l_tax > 1", quality.FAIL_ON_ANY),
+    quality.fails("l_shipdate", "Timeliness", "l_shipdate < TIMESTAMP_NTZ '1992-01-10'", quality.tolerated(3)),
+)
+
+
+@query("DQ-1_merged_batches", o.check_rows((
+    o.check_row("l_quantity", "Validity", o._count("lineitem", "NOT l_quantity <= 45"), o._count("lineitem"), "warn"),
+    o.check_row("l_discount", "Accuracy", o._count("lineitem", "NOT l_discount <= 0.09"), o._count("lineitem"), "percent"),
+    o.check_row("l_tax", "Validity", o._count("lineitem", "l_tax > 1"), o._count("lineitem"), "fail"),
+    o.check_row("l_shipdate", "Timeliness", o._count("lineitem", "l_shipdate < TIMESTAMP '1992-01-10'"), o._count("lineitem"), "tolerated"))))
+def merged_checks(spark, sf_dir):
+    """Order lines in four batches, whose check counts are added up."""
+    lines = feeds.table(spark, sf_dir, "lineitem")
+    states = [check_state.check_counts(lines.filter(f"l_linenumber % 4 = {k}"), _LINE_CHECKS, "lines", f"b{k}") for k in range(4)]
+    return check_state.merged_results(dedup.union_by_name(states), _LINE_CHECKS)
+
+
 @query("DQ-3_iqr_bounds", """
 SELECT greatest(0.0, q1 - 1.5 * (q3 - q1)) AS lower, q3 + 1.5 * (q3 - q1) AS upper
 FROM (SELECT quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM events)""")

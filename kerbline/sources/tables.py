@@ -8,6 +8,7 @@ the view ``name`` at it. Readers always see one complete version.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
@@ -154,6 +155,28 @@ def append_new(
     return spark.table(name)
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def replace_partition(rows: DataFrame, name: str, partition: dict[str, str]) -> DataFrame:
+    """Store ``rows`` as one partition of a table, in place of what it held; nothing else is read or rewritten.
+
+    ``rows`` has the partition columns too. The table is created on first use.
+    """
+    spark = rows.sparkSession
+    if not spark.catalog.tableExists(name):
+        rows.limit(0).write.format("parquet").partitionBy(*partition).saveAsTable(name)
+    columns = [c for c in spark.table(name).columns if c not in partition]
+    staged = f"_staged_{uuid.uuid4().hex}"
+    rows.select(*columns).createTempView(staged)
+    where = ", ".join(f"`{c}` = {sql_text(v)}" for c, v in partition.items())
+    spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION ({where}) SELECT {', '.join(f'`{c}`' for c in columns)} FROM {staged}")
+    spark.catalog.dropTempView(staged)
+    return spark.table(name)
+
+
 def require_rows(df: DataFrame, message: str) -> DataFrame:
     """Abort the load when a batch is empty; looks at one row only."""
     if df.isEmpty():
