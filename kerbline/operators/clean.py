@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from kerbline.functions.timekeys import elapsed_minutes
-from kerbline.operators.dedup import keep_unless, union_by_name
+from kerbline.operators.dedup import keep_unless
+from kerbline.operators.evolution import union_evolved
 
 PICKUP, DROPOFF = "lpep_pickup_datetime", "lpep_dropoff_datetime"
 
@@ -24,8 +25,8 @@ ZONE_SPELLING = {"SOHO": "SoHo", "LAGUARDIA AIRPORT": "LaGuardia Airport", "JFK
 
 
 def union_months(months: Sequence[DataFrame]) -> DataFrame:
-    """Monthly trip tables as one, matched by column name."""
-    return union_by_name(months)
+    """Monthly trip tables as one, matched by column name, under the least common type of each column."""
+    return union_evolved(months)
 
 
 def with_duration(df: DataFrame, start: str = PICKUP, end: str = DROPOFF, out: str = "trip_duration_min") -> DataFrame:

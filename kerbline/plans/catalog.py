@@ -20,6 +20,7 @@ from kerbline.operators import (
     check_state,
     clean,
     dedup,
+    evolution,
     history as hist,
     mart,
     profile,
@@ -489,6 +490,21 @@ def union_months(spark, sf_dir):
     return clean.union_months(feeds.trip_months(spark, sf_dir))
 
 
+@query("CLN-1_evolved_months", """
+SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_quantity AS DOUBLE) AS l_quantity, CASE WHEN l_linenumber % 3 = 1 THEN NULL ELSE l_tax END AS l_tax,
+       CAST(l_partkey AS BIGINT) AS l_partkey, CASE WHEN l_linenumber % 3 = 2 THEN l_shipdate END AS l_shipdate
+FROM lineitem""")
+def evolved_months(spark, sf_dir):
+    """Order lines in three batches of different types and columns."""
+    lines = feeds.table(spark, sf_dir, "lineitem")
+    part = lambda k, *columns: lines.filter(f"l_linenumber % 3 = {k}").selectExpr(*columns)
+    return evolution.union_evolved([
+        part(0, "l_orderkey", "CAST(l_quantity AS INT) AS l_quantity", "l_tax", "l_partkey"),
+        part(1, "CAST(l_orderkey AS STRING) AS l_orderkey", "l_quantity", "CAST(l_partkey AS INT) AS l_partkey"),
+        part(2, "CAST(l_orderkey AS INT) AS L_ORDERKEY", "CAST(l_quantity AS SMALLINT) AS l_quantity", "l_tax", "l_partkey", "l_shipdate"),
+    ])
+
+
 @query("CLN-2_duration", o.statement("SELECT *, minutes AS trip_duration_min FROM trips_timed".replace(
     "*", "lpep_pickup_datetime, lpep_dropoff_datetime"), "trips_timed"))
 def duration(spark, sf_dir):
