@@ -3,7 +3,7 @@
 import corpus_pipeline as cp
 from test_decontaminate import slow
 from test_entropy_mix import slow_targets
-from test_simhash import slow_classes, slow_fingerprint
+from test_near_copies import slow_kept
 
 from kerbline.llm import cotrain_quality, pseudonyms
 from kerbline.llm.common import documents
@@ -24,9 +24,8 @@ def test_stages(spark, small_sf):
     good = cotrain_quality.rated(documents(spark, small_sf), documents(spark, small_sf, "labels")).filter("accepted")
     assert tables["quality"] == {i: r for i, r in before.items() if i in {x.doc_id for x in good.collect()}}
 
-    kept = sorted(tables["quality"])
-    classes = slow_classes([(i, slow_fingerprint(before[i].text)) for i in kept])
-    assert sorted(tables["near_duplicates"]) == sorted(set(classes.values()))
+    kept = [(i, before[i].text) for i in sorted(tables["quality"])]
+    assert sorted(map(str, tables["near_duplicates"])) == slow_kept(kept)
 
     items = [(r.item_id, r.text) for r in documents(spark, small_sf, "benchmark").collect()]
     assert sorted(tables["decontamination"]) == [i for i in sorted(tables["near_duplicates"]) if not slow(before[i].text, items)[4]]
