@@ -40,21 +40,19 @@ def path_key(root: bytes, path: bytes, level: int = LEVEL) -> bytes:
     return hashlib.blake2b(root + (b"+" + hashlib.blake2b(path, digest_size=16).digest() if full else path), digest_size=16).digest()
 
 
-def pack(parent: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """BASE and CHECK of a trie, and every node's slot.
+def fitted(owner: np.ndarray, symbol: np.ndarray, n: int, reserved: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """BASE of ``n`` owners and the place BASE[owner] + symbol of each (owner, symbol), no two places equal.
 
-    Node 0 is the root; node k > 0 is the child of ``parent[k]`` by ``symbol[k]``, and parents
-    come first. A child's slot is BASE[its parent's slot] + symbol, and CHECK of it is the parent's slot; free slots
-    have -1 there. Nodes with several children are fitted first, the others fill the gaps.
+    Owners with several symbols are fitted first, the others fill the gaps; places below
+    ``reserved`` stay free. A base may be negative.
     """
-    n = len(parent)
-    order = np.lexsort((symbol[1:], parent[1:])) + 1
-    owners, first, counts = np.unique(parent[order], return_index=True, return_counts=True)
-    span = int(symbol[1:].max(initial=0)) + 1
-    used = np.zeros(2 * n + span + 1, bool)
-    used[0] = True
-    base_of = np.zeros(n, np.int64)
-    low, top = 1, 1
+    order = np.lexsort((symbol, owner))
+    owners, first, counts = np.unique(owner[order], return_index=True, return_counts=True)
+    span = int(symbol.max(initial=0)) + 1
+    used = np.zeros(2 * (n + len(owner)) + span + reserved, bool)
+    used[:reserved] = True
+    base = np.zeros(n, np.int64)
+    low = top = reserved
     for k in np.argsort(-counts, kind="stable").tolist():
         if counts[k] == 1:
             break
@@ -64,19 +62,30 @@ def pack(parent: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray
             low += 1
         if top + int(shape[-1]) >= len(used):
             used = np.concatenate([used, np.zeros(int(shape[-1]) + len(used), bool)])
-        places = np.unique(np.concatenate([np.arange(low, min(low + _FITS, top)), np.linspace(low, top, _FITS).astype(np.int64)]))
+        places = np.unique(np.concatenate([np.arange(low, min(low + _FITS, top)), np.linspace(low, max(low, top), _FITS).astype(np.int64)]))
         fits = places[~used[places[:, None] + shape].any(axis=1)]  # the last one, behind all that is used, always does
         place = int(fits[0])
         used[place + shape] = True
         top = max(top, int(place + shape[-1]) + 1)
-        base_of[owners[k]] = place - own[0]
+        base[owners[k]] = place - own[0]
     single = counts == 1
     free = np.flatnonzero(~used)[:int(single.sum())]
     if len(free) < single.sum():
         free = np.concatenate([free, len(used) + np.arange(single.sum() - len(free))])
-    base_of[owners[single]] = free - symbol[order[first[single]]]
-    slot = np.zeros(n, np.int64)
-    slot[1:] = base_of[parent[1:]] + symbol[1:]
+    base[owners[single]] = free - symbol[order[first[single]]]
+    return base, base[owner] + symbol
+
+
+def pack(parent: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """BASE and CHECK of a trie, and every node's slot.
+
+    Node 0 is the root; node k > 0 is the child of ``parent[k]`` by ``symbol[k]``, and parents
+    come first. A child's slot is BASE[its parent's slot] + symbol, and CHECK of it is the
+    parent's slot; free slots have -1 there.
+    """
+    n = len(parent)
+    base_of, places = fitted(parent[1:], symbol[1:], n, reserved=1)
+    slot = np.concatenate([[0], places])
     size = int(slot.max()) + 1
     base, check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
     base[slot] = base_of

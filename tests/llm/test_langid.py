@@ -37,7 +37,7 @@ def test_phrases_match_substring_search(monkeypatch):
     model = li.build(refs)
     for stretch in (512, 1, 7):
         monkeypatch.setattr(li, "STRETCH", stretch)
-        line, sizes, letters = li.symbols(texts, model.symbol)
+        line, sizes, letters = li.symbols(texts, model.letters)
         assert sizes.tolist() == [len(plain(t)) for t in texts]
         assert letters.tolist() == [any(c.isalpha() for c in t) for t in texts]
         got = li.phrases(line, sizes, model)
@@ -80,3 +80,43 @@ def test_without_languages_or_rows(spark, corpus):
     assert li.held_out(docs.limit(0)).collect() == []
     one = li.held_out(docs.filter("lang = 'aa'")).collect()
     assert {r.lang_pred for r in one} == {"aa", "und"}
+
+
+def test_parts_of_a_long_text_cost_what_they_cost_alone(monkeypatch):
+    model = li.build({"x": ["kato mire suto kami " * 20], "y": ["xopli vra dun " * 20]})
+    text = "Kato mire, xopli! " * 300
+    whole = li.identify([text, "vra dun", None], model)
+    monkeypatch.setattr(li, "PART", 7 * li.STRETCH)
+    parts = li.identify([text, "vra dun", None], model)
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], atol=0.02)
+
+
+def test_long_texts_only_large_scripts_and_hot_ids(spark):
+    """A language of 20,000-character texts, one in 3,000 letters, and an id in half of all rows."""
+    rng = random.Random(4)
+    script = [chr(0x4E00 + k) for k in range(3000)]
+    grams = ["".join(rng.choices(script, k=3)) for _ in range(900)]
+
+    def said(lang, size):
+        if lang == "wide":
+            return "".join(rng.choices(grams, k=size // 3))
+        words = ["".join(rng.choices({"long": "ka to mi re".split(), "short": "xo pli vra".split()}[lang], k=3)) for _ in range(size // 7)]
+        return " ".join(words)
+
+    rows = [(i, said(lang, {"wide": 400, "long": 20_000, "short": 200}[lang]), lang) for i, lang in enumerate(["wide", "long", "short"] * 40)]
+    rows += [(500 + i, said(lang, 300), None) for i, lang in enumerate(["wide", "long", "short"] * 7)]
+    rows += [(1000, "pli xo " * (1 + k % 3), "short") for k in range(400)] + [(None, "vra " * 30, "short")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = li.references(docs.filter(li.crc_mod("doc_id", 4) != 2)).collect()
+    assert len(picked) == len({(r.lang, r.h) for r in picked}) < 130 and {r.lang for r in picked} == {"wide", "long", "short"}
+    assert max(len(r.text) for r in picked) <= li.LONGEST
+    got = {r.doc_id: r.lang_pred for r in li.held_out(docs).collect()}
+    wrong = [i for i, lang in enumerate(["wide", "long", "short"] * 7) if got[500 + i] != lang]
+    assert wrong == []
+
+
+def test_many_languages_stay_small():
+    rng = random.Random(8)
+    refs = {f"l{k:03}": [" ".join("".join(rng.choices("abcdefghijklmnop"[k % 9:], k=6)) for _ in range(5700))] for k in range(3)}
+    model = li.build(refs)
+    assert max(x.base.nbytes + x.check.nbytes + x.target.nbytes for x in model.languages) < 3 << 20
