@@ -25,9 +25,11 @@ def _count() -> Column:
 
 def borough_flows(fact: DataFrame, zone: DataFrame) -> DataFrame:
     """Trips, distance and revenue per pickup and drop-off borough, busiest first."""
-    pairs = fact.groupBy("pu_location_id", "do_location_id").agg(
-        _count(), *partials("trip_distance", "total_amount")
-    )
+    return flows_of(fact.groupBy("pu_location_id", "do_location_id").agg(_count(), *partials("trip_distance", "total_amount")), zone)
+
+
+def flows_of(pairs: DataFrame, zone: DataFrame) -> DataFrame:
+    """Borough flows from trips reduced by zone pair (and anything else, such as the day)."""
     pickup = zone.select(F.col("location_id").alias("pu_location_id"), F.col("borough").alias("pickup_borough"))
     dropoff = zone.select(F.col("location_id").alias("do_location_id"), F.col("borough").alias("dropoff_borough"))
     return (
@@ -45,7 +47,11 @@ def borough_flows(fact: DataFrame, zone: DataFrame) -> DataFrame:
 
 def top_pickup_zones(fact: DataFrame, zone: DataFrame, k: int | None = None) -> DataFrame:
     """Trips, mean distance and revenue per pickup zone, busiest first, optionally the top k."""
-    by_id = fact.groupBy("pu_location_id").agg(_count(), *partials("trip_distance", "total_amount"))
+    return zones_of(fact.groupBy("pu_location_id").agg(_count(), *partials("trip_distance", "total_amount")), zone, k)
+
+
+def zones_of(by_id: DataFrame, zone: DataFrame, k: int | None = None) -> DataFrame:
+    """Top pickup zones from trips reduced by pickup zone (and anything else)."""
     names = zone.select(
         F.col("location_id").alias("pu_location_id"),
         F.col("borough").alias("pickup_borough"),
@@ -66,9 +72,12 @@ def top_pickup_zones(fact: DataFrame, zone: DataFrame, k: int | None = None) ->
 
 def temporal_patterns(fact: DataFrame, date: DataFrame) -> DataFrame:
     """Trips, passengers, mean duration and mean fare per hour of day and weekend flag."""
-    by_hour = fact.groupBy("pickup_date_hour_key", "pickup_hour").agg(
-        _count(), F.sum("passenger_count").alias("_passengers"), *partials("trip_duration_min", "fare_amount")
-    )
+    return patterns_of(fact.groupBy("pickup_date_hour_key", "pickup_hour").agg(
+        _count(), F.sum("passenger_count").alias("_passengers"), *partials("trip_duration_min", "fare_amount")), date)
+
+
+def patterns_of(by_hour: DataFrame, date: DataFrame) -> DataFrame:
+    """Temporal patterns from trips reduced by pickup hour."""
     days = date.select(F.col("date_hour_key").alias("pickup_date_hour_key"), "is_weekend")
     return (
         by_hour.join(days, "pickup_date_hour_key")
@@ -95,7 +104,11 @@ def weather_impact(fact: DataFrame, weather: DataFrame) -> DataFrame:
 
     An hour with several weather rows counts its trips once per row, as a plain join does.
     """
-    by_hour = fact.groupBy("pickup_date_hour_key").agg(_count(), *partials("trip_distance", "trip_duration_min"))
+    return impact_of(fact.groupBy("pickup_date_hour_key").agg(_count(), *partials("trip_distance", "trip_duration_min")), weather)
+
+
+def impact_of(by_hour: DataFrame, weather: DataFrame) -> DataFrame:
+    """Weather impact from trips reduced by pickup hour."""
     hours = weather.select(
         F.col("date_hour_key").alias("pickup_date_hour_key"),
         weather_condition().alias("weather_condition"),
@@ -220,11 +233,16 @@ def advisory_impact(
 
 def kpi_summary(fact: DataFrame) -> DataFrame:
     """One row of headline figures; revenue per mile is NULL without miles."""
-    merged = fact.agg(
-        _count(),
-        F.sum("passenger_count").alias("total_passengers"),
-        *partials("total_amount", "fare_amount", "trip_distance", "trip_duration_min"),
-    )
+    return kpi_of(fact.agg(_count(), F.sum("passenger_count").alias("_passengers"), *partials(*_KPI_MEASURES)))
+
+
+_KPI_MEASURES = ("total_amount", "fare_amount", "trip_distance", "trip_duration_min")
+
+
+def kpi_of(reduced: DataFrame) -> DataFrame:
+    """Headline figures from trips reduced by anything."""
+    sums = [F.sum(f"{m}__{part}").alias(f"{m}__{part}") for m in _KPI_MEASURES for part in ("sum", "n")]
+    merged = reduced.agg(F.coalesce(F.sum(TRIPS), F.lit(0)).alias(TRIPS), F.sum("_passengers").alias("total_passengers"), *sums)
 
     def avg(measure: str) -> Column:
         return round_half_up(f"try_divide({measure}__sum, {measure}__n * 100)")

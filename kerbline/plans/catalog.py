@@ -30,6 +30,7 @@ from kerbline.operators import (
     rules,
     sighting_state as states,
 )
+from kerbline.operators.bi_daily import DAY, DailyBI
 from kerbline.plans import feeds, oracle as o
 from kerbline.plans.layers import BI_TABLES
 from kerbline.session import checkpoint_dir
@@ -718,6 +719,26 @@ def kpi_summary(spark, sf_dir):
     return bi.kpi_summary(feeds.fact(spark, sf_dir))
 
 
+@query("BI-5_kpi_by_day", o.statement(f"""
+SELECT COUNT(*) AS total_trips, CAST(SUM(passenger_count) AS BIGINT) AS total_passengers,
+       {o.total('total_amount')} AS total_revenue_usd, {o.mean('fare_amount')} AS avg_fare_usd,
+       {o.mean('trip_distance')} AS avg_distance_miles, {o.mean('trip_duration_min')} AS avg_duration_minutes,
+       {o.rounded(f"CAST(SUM({o.exact('total_amount')}) AS DOUBLE) / NULLIF(CAST(SUM({o.exact('trip_distance')}) AS DOUBLE), 0)")} AS revenue_per_mile
+FROM fact""", "fact"))
+def kpi_by_day(spark, sf_dir):
+    """The fact stored by day, reduced to daily partial sums; some days' files are written later and refreshed alone."""
+    name = "kerbline_bi_daily"
+    home = _place(spark, f"{name}_fact")
+    for kind in ("pairs", "hours"):
+        _place(spark, f"{name}_{kind}")
+    daily = DailyBI(spark, name, _place(spark, f"{name}_sums"))
+    rows = feeds.fact(spark, sf_dir).withColumn(DAY, F.to_date("pickup_datetime"))
+    for some in (F.dayofmonth(DAY) % 5 != 0, F.dayofmonth(DAY) % 5 == 0):
+        rows.filter(some).repartition(DAY).write.mode("append").partitionBy(DAY).parquet(home)
+        daily.refresh(spark.read.parquet(home))
+    return daily.kpi_summary()
+
+
 @query("BI-6_endpoint_weather", o.statement(f"""
 SELECT f.*, pz.borough AS pickup_borough, dz.borough AS dropoff_borough,
        pw.weather_condition AS pickup_condition, pw.temperature_2m AS pickup_temperature,
