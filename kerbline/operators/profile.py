@@ -9,6 +9,7 @@ aggregate, which multiply every row by the number of columns.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -58,6 +59,6 @@ def profile_all(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def profile_schema(spark: SparkSession, schema: str) -> DataFrame:
-    """Profile every table of a catalog schema."""
-    names = [t.name for t in spark.catalog.listTables(schema) if not t.isTemporary]
+    """Profile every table of a catalog schema; of a versioned one, what its view shows."""
+    names = [t.name for t in spark.catalog.listTables(schema) if not t.isTemporary and not re.search(r"__v\d+$", t.name)]
     return profile_all({name: spark.table(f"{schema}.{name}") for name in names})

@@ -64,10 +64,10 @@ class Layers:
     # -- raw -----------------------------------------------------------------------------
 
     def land(self, table: str, df: DataFrame, source_system: str, batch_id: str, time_col: str | None = None) -> dict:
-        """Replace one raw table by a batch; reports rows and time range of that write."""
+        """Replace one raw table by a batch, as a new version; reports rows and time range of that write."""
         tables.require_rows(df, f"{table}: empty batch {batch_id}, nothing written")
         stamped = tables.with_provenance(df, source_system, batch_id)
-        return tables.write_table_reporting(stamped, self.name(table), time_col)
+        return tables.publish_reporting(stamped, self.name(table), time_col)
 
     def land_scrape(self, entries: DataFrame, source_system: str, batch_id: str) -> DataFrame:
         """Append the entries of a scrape that are not held yet."""
@@ -135,8 +135,7 @@ class Layers:
 
     def profile_raw(self) -> DataFrame:
         """Profile of every column of every raw table."""
-        return tables.write_table(
-            profile.profile_schema(self.spark, f"{self.prefix}raw"), self.name("validation.profile_source_data"))
+        return self.publish(profile.profile_schema(self.spark, f"{self.prefix}raw"), "validation.profile_source_data")
 
     def validate_clean(self) -> DataFrame:
         """Run the four rule sets, store each result, and publish them as one view."""
@@ -179,6 +178,7 @@ class Layers:
         self.land(RAW_WEATHER, weather, "weather_api", batch_id, "observation_time")
         self.land(RAW_ZONES, zones, "zone_lookup", batch_id)
         self.land_scrape(entries, "advisory_pages", batch_id)
+        self.profile_raw()
         self.build_clean(list(months))
         self.build_mart()
         self.build_bi()

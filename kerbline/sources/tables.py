@@ -83,15 +83,27 @@ def write_table(
     return df.sparkSession.table(name)
 
 
-def write_table_reporting(
-    df: DataFrame, name: str, time_col: str | None = None, **layout
-) -> dict[str, object]:
-    """Write and report rows and time range from the same pass (no second scan)."""
+def _observed(df: DataFrame, name: str, time_col: str | None) -> tuple[DataFrame, Observation]:
     seen = Observation(f"load:{name}")
     metrics = [F.count(F.lit(1)).alias("rows_loaded")]
     if time_col:
         metrics += [F.min(time_col).alias("first_time"), F.max(time_col).alias("last_time")]
-    write_table(df.observe(seen, *metrics), name, **layout)
+    return df.observe(seen, *metrics), seen
+
+
+def write_table_reporting(
+    df: DataFrame, name: str, time_col: str | None = None, **layout
+) -> dict[str, object]:
+    """Write and report rows and time range from the same pass (no second scan)."""
+    watched, seen = _observed(df, name, time_col)
+    write_table(watched, name, **layout)
+    return dict(seen.get)
+
+
+def publish_reporting(df: DataFrame, name: str, time_col: str | None = None, **layout) -> dict[str, object]:
+    """The same for a new version of a table: readers keep the old one until the write is complete."""
+    watched, seen = _observed(df, name, time_col)
+    publish_version(watched, name, **layout)
     return dict(seen.get)
 
 
