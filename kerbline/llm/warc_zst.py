@@ -3,8 +3,9 @@
 Each archive file begins with a skippable frame that holds a Zstandard dictionary built from
 records of that archive; every record is a frame of its own, compressed with it. Equal
 payloads are stored once: one record is the response, the others are revisits of it.
-Archives are written by tasks into a shared folder under names that depend on their content's
-place only, first under a temporary name, so a task that is run again replaces its own files.
+Archives are written by tasks into a shared folder, each attempt of a task under names of its
+own. The table that ``write`` returns has the names of the attempts that succeeded, and only
+these archives are read: what a lost attempt left behind is not part of the result.
 """
 
 from __future__ import annotations
@@ -104,21 +105,21 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield headers, block
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
-    """Write a file under its final name at once, on any file system that Arrow reaches."""
+def _place(folder: str) -> tuple[fs.FileSystem, str]:
+    """The folder on any file system that Arrow reaches."""
     if "://" in folder or folder.startswith("file:"):
-        where, path = fs.FileSystem.from_uri(folder)
-    else:
-        where, path = fs.LocalFileSystem(), folder
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), folder
+
+
+def _put(folder: str, name: str, data: bytes) -> None:
+    """Write a file under its final name at once."""
+    where, path = _place(folder)
     where.create_dir(path, recursive=True)
-    draft = f"{path}/.{name}.{uuid.uuid4().hex}"
+    draft = f"{path}/.{name}"
     with where.open_output_stream(draft) as out:
         out.write(data)
-    try:
-        where.move(draft, f"{path}/{name}")
-    except OSError:  # some stores do not rename over the file of an earlier attempt
-        where.delete_file(f"{path}/{name}")
-        where.move(draft, f"{path}/{name}")
+    where.move(draft, f"{path}/{name}")
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", size: int = ARCHIVE) -> DataFrame:
@@ -138,11 +139,11 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, count, held, total = TaskContext.get().partitionId(), 0, [], 0
+        task, count, held, total = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}", 0, [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal count, held, total
-            name = f"part-{task:06d}-{count:04d}.warc.zst"
+            name = f"part-{task}-{count:04d}.warc.zst"
             data = archive(held)
             _put(folder, name, data)
             row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())],
@@ -162,39 +163,46 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     return known.select("page_id", "url", "html", "first").mapInArrow(run, "archive string, records long, bytes long")
 
 
-def read(spark, folder: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every archived record.
+_ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
-    The digest of a response is taken from its payload and must be the one in its header; a
-    revisit has its payload's digest and length in its headers.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
 
+def _archived(data: bytes) -> pa.RecordBatch:
+    """The rows of an archive."""
+    rows = []
+    for headers, block in records_of(data):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        told = headers["warc-payload-digest"].removeprefix("sha1:")
+        kind = headers["warc-type"]
+        if kind == "response" and digest(payload) != told:
+            raise ValueError(f"payload of {headers['warc-record-id']} is damaged")
+        length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+        rows.append((_page_id(headers["warc-record-id"]), length if kind == "revisit" else len(payload), told, kind,
+                     _page_id(headers["warc-refers-to"]) if kind == "revisit" else None))
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in _ROWS.split(", ")])
+
+
+def read(archives: DataFrame, folder: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the ``archives`` below ``folder``.
+
+    ``archives`` is the stored result of ``write``; only its names travel. The digest of a
+    response is taken from its payload and must be the one in its header; a revisit has its
+    payload's digest and length in its headers.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, path = _place(folder)
         for batch in batches:
-            for k in range(batch.num_rows):
-                rows = []
-                for headers, block in records_of(batch.column(0)[k].as_py()):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    told = headers["warc-payload-digest"].removeprefix("sha1:")
-                    kind = headers["warc-type"]
-                    if kind == "response" and digest(payload) != told:
-                        raise ValueError(f"payload of {headers['warc-record-id']} is damaged")
-                    length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                    rows.append((_page_id(headers["warc-record-id"]), length if kind == "revisit" else len(payload), told, kind,
-                                 _page_id(headers["warc-refers-to"]) if kind == "revisit" else None))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)],
-                                                     names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+            for name in batch.column(0).to_pylist():
+                with where.open_input_stream(f"{path}/{name}") as held:
+                    data = held.read()
+                yield _archived(data)
+
+    return archives.select("archive").repartition("archive").mapInArrow(run, _ROWS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archive all pages in the shared folder and read them back."""
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    if stored(write(pages, folder), "archives").isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read(spark, folder)
+    return read(stored(write(pages, folder), "archives"), folder)

@@ -69,3 +69,14 @@ def test_small_archives(spark, tmp_path):
     files = wz.write(pages, f"file://{tmp_path}/a", size=2000).collect()
     assert sum(f.records for f in files) == 20 and len(files) > 2
     assert sorted(p.name for p in (tmp_path / "a").iterdir()) == sorted(f.archive for f in files)
+
+
+def test_archives_of_a_lost_attempt_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(i, None, f"page {i}") for i in range(30)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/a"
+    lost = wz.stored(wz.write(pages.coalesce(1), folder, size=600), "archives")  # cut into more archives than the next attempt
+    kept = wz.stored(wz.write(pages.coalesce(1), folder), "archives")
+    assert lost.count() > kept.count() == 1
+    assert len(list((tmp_path / "a").glob("*.warc.zst"))) == lost.count() + 1  # no name is used twice
+    got = sorted(r.page_id for r in wz.read(kept, folder).collect())
+    assert got == list(range(30)) == sorted(r.page_id for r in wz.read(lost, folder).collect())
