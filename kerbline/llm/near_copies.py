@@ -7,7 +7,8 @@ Documents that meet are gathered in stars, and nearly all pairs that meet lie wi
 A star is compared as tiles: a task takes its texts, counts the overlaps of all pairs exactly by a
 matrix product and hands on a spanning forest of the similar ones, so a large family of
 copies never becomes rows of pairs. What meets across stars and is not linked by then is
-compared in pairs, those left out whose prefixes share too few shingles for the rest to make up for it.
+gathered anew, at the shingle that most of it shares, and compared as tiles again; at last every
+shingle still open is a star of its own, so that each pair that meets is compared somewhere.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ WIDTH = 5
 SIMILAR = (4, 5)
 #: Documents of the sample for the order, occurrences in it from which a shingle comes last, and most of these.
 SAMPLE, OFTEN, MOST = 20_000, 2, 200_000
-#: Times that nodes move to the star that prevails around them.
-ROUNDS = 2
+#: Times that nodes move to the star that prevails around them, and that open nodes are gathered anew.
+ROUNDS, REGATHERED = 2, 2
 #: Most nodes and shingles of a tile, and cells of a block of its incidence matrix.
 TILE, MARKS, _CELLS = 1024, 1 << 20, 1 << 22
 
@@ -244,29 +245,39 @@ def star_links(kept: DataFrame, stars: DataFrame, text: str, row: str) -> DataFr
     return stored(tiles.mapInArrow(_tiles, "a long, b long"), "links")
 
 
-def _close(a: str, b: str, shared: str) -> str:
-    """Whether prefixes with ``shared`` shingles in common leave enough behind them."""
-    above, below = SIMILAR
-    return (f"{below + above} * ({shared} + greatest({a}.n - {a}.p, {b}.n - {b}.p)) >= {above} * ({a}.n + {b}.n) "
-            f"AND {below} * least({a}.n, {b}.n) >= {above} * greatest({a}.n, {b}.n)")
+def unsettled(entries: DataFrame, nodes: DataFrame, layouts: list[str]) -> DataFrame:
+    """Stored ``entries`` (h, node, n) of open shingles, with the columns of ``nodes`` (node, root, *layouts).
 
+    Two nodes are settled if they have one root, thus are linked, or one star in any of the
+    layouts, thus were compared. A shingle all of whose nodes share one of these is not open.
+    """
+    keys = ["root", *layouts]
+    placed = stored(entries.join(nodes, "node"), "placed")
+    ends = placed.groupBy("h").agg(*[f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in keys])
+    open_ = stored(ends.filter(" AND ".join(f"min_{x} <> max_{x}" for x in keys)).select("h"), "open")
+    left = stored(placed.join(open_, "h"), "left")
+    discard(placed)
+    return left
 
-def _confirmed(kept: DataFrame, pairs: DataFrame, text: str, row: str) -> DataFrame:
-    """The stored ``pairs`` (a, b) whose sets are similar."""
-    nodes = pairs.select(F.col("a").alias(row)).union(pairs.select("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            sets = [shingles(x).view(np.int64) for x in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "marks"])
+def regathered(left: DataFrame) -> DataFrame:
+    """Stored stars (node, star, n): of each node's open shingles that of most nodes, the least of equals.
 
-    texts = kept.select(F.col(row), F.col(text).alias("text")).join(nodes.hint("merge"), row, "left_semi")
-    sets = stored(texts.select(row, "text").mapInArrow(run, "node long, marks array<long>"), "shingles")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    above, below = SIMILAR
-    found = stored(both.filter(f"{below + above} * size(array_intersect(x, y)) >= {above} * (size(x) + size(y))").select("a", "b"), "confirmed")
-    discard(sets)
-    return found
+    All nodes of the largest shingle choose it, so that it is not open afterwards.
+    """
+    sizes = stored(left.groupBy("h").count(), "sizes")
+    best = left.join(sizes, "h").groupBy("node").agg(F.max(F.struct("count", F.negative("h").alias("h"))).alias("x"), F.first("n").alias("n"))
+    return stored(best.selectExpr("node", "-x.h AS star", "n"), "stars")
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) of the classes by earlier ``roots`` and further ``links``."""
+    return components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Stored ``nodes`` with the root of each, itself where it is not linked."""
+    return stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,21 +302,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     stars = star_of(met)
     for _ in range(ROUNDS):
         stars = moved(met, stars)
-    links = star_links(kept, stars, text, row)
-
-    roots = components(links)
-    placed = met.join(stars.select("node", "star"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stored(placed, "placed")
-    open_ = placed.groupBy("h").agg(*[f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in ("root", "star")]).filter(
-        "min_root <> max_root AND min_star <> max_star").select("h")
-    left = stored(placed.join(stored(open_, "open"), "h"), "left")
-    pairs = left.alias("a").join(left.alias("b"), "h").filter(
-        f"a.node < b.node AND a.root <> b.root AND a.star <> b.star AND {SIMILAR[1]} * least(a.n, b.n) >= {SIMILAR[0]} * greatest(a.n, b.n)")
-    pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(
-        F.count("*").alias("shared"), F.first(F.struct("a.n", "a.p")).alias("x"), F.first(F.struct("b.n", "b.p")).alias("y"))
-    more = _confirmed(kept, stored(pairs.filter(_close("x", "y", "shared")).select("a", "b"), "pairs"), text, row)
-
-    roots = components(links.union(more))
+    roots = _joined(None, star_links(kept, stars, text, row))
+
+    layouts = ["star"]
+    left = unsettled(met.select("h", "node", "n"), _rooted(stars.select("node", "star"), roots), layouts)
+    discard(met)
+    for k in range(REGATHERED):
+        if left.isEmpty():
+            break
+        stars = regathered(left)
+        roots = _joined(roots, star_links(kept, stars, text, row))
+        nodes = left.select("node", *layouts).distinct().join(stars.select("node", F.col("star").alias(f"star_{k}")), "node")
+        layouts = [*layouts, f"star_{k}"]
+        left = unsettled(left.select("h", "node", "n"), _rooted(nodes, roots), layouts)
+    if not left.isEmpty():
+        roots = _joined(roots, star_links(kept, left.select("node", F.col("h").alias("star"), "n"), text, row))
     classes = sets.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     winners = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     # Always by a shuffle: most rows stay, so their ids outgrow any broadcast, and the plan is the same at every size.

@@ -1,6 +1,7 @@
 """Near-copies by shingle sets: kept documents against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -100,6 +101,42 @@ def test_large_family_in_tiles(spark, monkeypatch, tile, marks):
     assert sorted(str(r.doc_id) for r in nc.keep_one(docs).collect()) == slow_kept(rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_what_stars_leave_open_never_becomes_rows_of_pairs(spark, monkeypatch, rounds):
+    """Every star holds one node: all links are left to open shingles, the largest first or one by one."""
+    def alone(met, *_):
+        return stored(met.groupBy("node").agg(nc.F.first("n").alias("n")).selectExpr("node", "node AS star", "n"), "stars")
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, label)
+
+    plans, stored = [], nc.stored
+    monkeypatch.setattr(nc, "stored", noted)
+    monkeypatch.setattr(nc, "star_of", alone)
+    monkeypatch.setattr(nc, "moved", lambda met, stars: stars)
+    monkeypatch.setattr(nc, "REGATHERED", rounds, raising=False)
+    rng = random.Random(rounds)
+    families = [[f"w{f}.{k}" for k in range(90)] for f in range(3)]
+    texts = [" ".join(edited(rng, family, 0.02)) for family in families for _ in range(20)]
+    texts += [" ".join(families[f][k:k + 45] + families[f - 1][:30]) for f in range(3) for k in range(5)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(str(r.doc_id) for r in nc.keep_one(docs).collect()) == slow_kept(rows)
+    assert not any(re.search(r"Join .*node#\d+L < node#\d+L", x) for x in plans)
+
+
+def test_unsettled_shingles(spark):
+    """Open is what has several roots and several stars in each layout."""
+    nodes = [(1, 1, 1, 5), (2, 1, 2, 6), (3, 3, 2, 7), (4, 4, 4, 7), (5, 5, 1, 8)]
+    groups = {10: [1, 2], 11: [2, 3], 12: [3, 4], 13: [1, 3], 14: [1, 2, 3, 4], 15: [1, 5]}
+    entries = [(h, node, 9) for h, x in groups.items() for node in x]
+    left = nc.unsettled(spark.createDataFrame(entries, "h long, node long, n long"),
+                        spark.createDataFrame(nodes, "node long, root long, star long, star_0 long"), ["star", "star_0"])
+    assert sorted((r.h, r.node) for r in left.collect()) == [(13, 1), (13, 3), (14, 1), (14, 2), (14, 3), (14, 4)]
+    assert sorted((r.node, r.star) for r in nc.regathered(left).collect()) == [(1, 14), (2, 14), (3, 14), (4, 14)]
+
+
 def test_stage_links_what_differs_in_more_than_four_bits(spark, small_sf):
     docs = cp.documents(spark, small_sf)
     got = sorted(str(r.doc_id) for r in cp.near_duplicates(spark, docs, small_sf).collect())
