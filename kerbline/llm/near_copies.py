@@ -1,14 +1,19 @@
-"""Near-copies by the exact Jaccard similarity of their sets of word shingles.
+"""Near-copies by SimHash and the exact Jaccard similarity of their sets of word shingles.
 
-Shingles are put in one order for all documents, those frequent in a sample last. Of two sets
+Every set has a SimHash fingerprint. Fingerprints of all documents are compared by ``simhash.links``,
+exactly in exclusive-or tiles; those linked within ``BITS`` bits are a family, in which the sets
+themselves decide. A bound on bits misses pairs, as two sets of ``SIMILAR`` differ in ten of 64 bits
+on average; an exact search for the rest follows, so that none is lost.
+
+In it shingles are put in one order for all documents, those frequent in a sample last. Of two sets
 with at least ``SIMILAR`` in common, the first fifth (and one) of either shares a shingle, so
 similar documents meet where these prefixes do and no pair is lost, whatever the order.
 Documents that meet are gathered in stars, and nearly all pairs that meet lie within one.
-A star is compared as tiles: a task takes its texts, counts the overlaps of all pairs exactly by a
+A family or star is compared as tiles: a task takes its texts, counts the overlaps of all pairs exactly by a
 matrix product and hands on a spanning forest of the similar ones, so a large family of
 copies never becomes rows of pairs. What meets across stars and is not linked by then is
-gathered anew, at the shingle that most of it shares, and compared as tiles again; at last every
-shingle still open is a star of its own, so that each pair that meets is compared somewhere.
+gathered anew by classes of sizes, at the shingle that most of it shares, and compared as tiles again; at last
+every shingle still open is a star of its own, so that each pair that meets and can be similar is compared somewhere.
 """
 
 from __future__ import annotations
@@ -24,11 +29,14 @@ from pyspark.sql import types as T
 
 from kerbline.llm.common import discard, pieces, stored, text_bytes
 from kerbline.llm.components import components
-from kerbline.llm.simhash import SEED, _hashes, _word_runs, forest
+from kerbline.llm.simhash import _HASHES, SEED, _bit_counts, _hashes, _word_runs, forest
+from kerbline.llm.simhash import links as fingerprint_links
 
 WIDTH = 5
 #: Least similarity of a link, as a fraction.
 SIMILAR = (4, 5)
+#: Most differing bits of two fingerprints of a family.
+BITS = 6
 #: Documents of the sample for the order, occurrences in it from which a shingle comes last, and most of these.
 SAMPLE, OFTEN, MOST = 20_000, 2, 200_000
 #: Times that nodes move to the star that prevails around them, and that open nodes are gathered anew.
@@ -43,6 +51,16 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each set: a bit is 1 if set in over half the hashes; equal sets have equal ones, an empty one zero."""
+    counts = np.zeros((len(sets), 64), np.int64)
+    for i, x in enumerate(sets):
+        for at in range(0, len(x), _HASHES):
+            counts[i] += _bit_counts(x[at:at + _HASHES], np.zeros(1, np.int64))[0]
+    n = np.array([len(x) for x in sets], np.int64)
+    return np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def prefix(marks: np.ndarray, often: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The first shingles in the order common to all documents; ``often`` is sorted."""
     if not len(marks):
@@ -74,7 +92,7 @@ def _sample(kept: DataFrame, text: str, row: str) -> tuple[np.ndarray, np.ndarra
 
 
 def _prefixes(kept: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
-    """id, row, digest of the shingle set, its size and its prefix for every document."""
+    """id, row, digest of the shingle set, its fingerprint, its size and its prefix for every document."""
     sent = kept.sparkSession.sparkContext.broadcast(_sample(kept, text, row))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,11 +102,11 @@ def _prefixes(kept: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
             first = [prefix(x, often, weight).view(np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
-                 pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "digest", "n", "prefix"])
+                 pa.array(fingerprints(sets).view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "digest", "fp", "n", "prefix"])
 
     fields = [T.StructField("doc_id", kept.schema[doc_id].dataType), T.StructField("row", T.LongType()), T.StructField("digest", T.BinaryType()),
-              T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+              T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
     rows = kept.select(F.col(doc_id).alias("doc_id"), F.col(row).alias("row"), F.col(text).alias("text"))
     return rows.mapInArrow(run, T.StructType(fields))
 
@@ -146,6 +164,14 @@ def meetings(entries: DataFrame, label: str = "meetings") -> DataFrame:
         "h", "node", "n", "p", "coalesce(first, hub) AS hub")
 
 
+def families(sets: DataFrame, bits: int | None = None) -> DataFrame:
+    """Stored (node, star, n) of the stored ``sets`` (node, fp, n): the least fingerprint linked with a node's at ``bits`` or fewer."""
+    marks = stored(sets.select("fp").distinct(), "marks")
+    roots = components(fingerprint_links(marks, BITS if bits is None else bits))
+    placed = sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return stored(placed.select("node", F.coalesce("root", "fp").alias("star"), "n"), "families")
+
+
 def _elected(votes: DataFrame) -> DataFrame:
     """Stored (node, star, n): the star with most of a node's ``votes`` (node, star, n, shared), the least of equals."""
     best = votes.groupBy("node").agg(F.max(F.struct("shared", F.negative("star").alias("star"))).alias("x"), F.first("n").alias("n"))
@@ -245,6 +271,29 @@ def star_links(kept: DataFrame, stars: DataFrame, text: str, row: str) -> DataFr
     return stored(tiles.mapInArrow(_tiles, "a long, b long"), "links")
 
 
+def _undecided(stars: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``stars`` (node, star, n) that hold several roots and several families of ``nodes`` (node, root, family)."""
+    ends = stars.join(nodes, "node").groupBy("star").agg(*[f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in ("root", "family")])
+    open_ = stored(ends.filter("min_root <> max_root AND min_family <> max_family").select("star"), "undecided")
+    return stored(stars.join(open_, "star").select("node", "star", "n"), "stars")
+
+
+def by_size(met: DataFrame) -> DataFrame:
+    """The entries (h, node, n) of ``met``, each h cut in two neighbouring classes of sizes at a time.
+
+    Sizes of similar sets differ by a factor of 1.25 at most, thus by one class of 1.26 at most, and meet
+    in one of both. Should keys collide, more is compared.
+    """
+    classes = F.expr(f"floor(ln(n) / ln({SIMILAR[1] / SIMILAR[0] + 0.01}))")
+    return met.withColumn("size", F.explode(F.array(classes, classes + 1))).select(F.xxhash64("h", "size").alias("h"), "node", "n")
+
+
+def _alike(left: DataFrame) -> DataFrame:
+    """Stars (node, star, n) of all open shingles; those of the same nodes, by their hashes, are one."""
+    marks = stored(left.groupBy("h").agg(F.bit_xor(F.xxhash64("node")).alias("star")), "alike")
+    return stored(left.select("h", "node", "n").join(marks, "h").select("node", "star", "n").distinct(), "stars")
+
+
 def unsettled(entries: DataFrame, nodes: DataFrame, layouts: list[str]) -> DataFrame:
     """Stored ``entries`` (h, node, n) of open shingles, with the columns of ``nodes`` (node, root, *layouts).
 
@@ -284,7 +333,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """The documents without near-copies: of each linked class the row with the least id stays.
 
     Documents are linked whose sets of ``WIDTH``-word shingles have a Jaccard similarity of
-    ``SIMILAR`` or more; words are cut and lower-cased as in ``simhash``, and texts without
+    ``SIMILAR`` or more, at first those of one SimHash family, then what shares a prefix; words are cut and lower-cased as in ``simhash``, and texts without
     words are equal. Of several rows with the least id one stays; NULL ids come last. All
     columns are returned as they are.
     """
@@ -293,8 +342,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     marks = stored(_prefixes(kept, doc_id, text, row), "prefixes")
     # Null ids order last: a struct compares its fields in turn.
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    sets = stored(marks.groupBy("digest").agg(F.min(order).alias("first")).select("first", F.col("first.row").alias("node")), "sets")
+    sets = stored(marks.groupBy("digest").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n")).select(
+        "first", F.col("first.row").alias("node"), "fp", "n"), "sets")
     # Equal sets are one node from here on.
+    kin = families(sets)
+    roots = _joined(None, star_links(kept, kin, text, row))
+
     entries = marks.join(sets.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi").select(
         F.explode("prefix").alias("h"), F.col("row").alias("node"), "n", F.size("prefix").cast("long").alias("p"))
     met = stored(meetings(entries), "met")
@@ -302,10 +355,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     stars = star_of(met)
     for _ in range(ROUNDS):
         stars = moved(met, stars)
-    roots = _joined(None, star_links(kept, stars, text, row))
+    nodes = stars.select("node", "star").join(kin.select("node", F.col("star").alias("family")), "node")
+    roots = _joined(roots, star_links(kept, _undecided(stars, _rooted(nodes, roots).drop("star")), text, row))
 
-    layouts = ["star"]
-    left = unsettled(met.select("h", "node", "n"), _rooted(stars.select("node", "star"), roots), layouts)
+    layouts = ["family", "star"]
+    left = unsettled(by_size(met), _rooted(nodes, roots), layouts)
     discard(met)
     for k in range(REGATHERED):
         if left.isEmpty():
@@ -316,7 +370,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         layouts = [*layouts, f"star_{k}"]
         left = unsettled(left.select("h", "node", "n"), _rooted(nodes, roots), layouts)
     if not left.isEmpty():
-        roots = _joined(roots, star_links(kept, left.select("node", F.col("h").alias("star"), "n"), text, row))
+        roots = _joined(roots, star_links(kept, _alike(left), text, row))
     classes = sets.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     winners = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     # Always by a shuffle: most rows stay, so their ids outgrow any broadcast, and the plan is the same at every size.

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline as cp
 from kerbline.llm import near_copies as nc
+from kerbline.llm.simhash import simhash
 
 
 def slow_kept(rows):
@@ -54,6 +55,48 @@ def test_every_similar_pair_is_linked(spark, monkeypatch, often):
     assert nc.keep_one(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_are_simhash_of_the_set(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{i}.{k}" for k in range(rng.choice([1, 5, 6, 80]))).encode() for i in range(30)] + [b""]
+    sets = [nc.shingles(x) for x in texts]
+    want = simhash(texts, nc.WIDTH)
+    assert np.array_equal(nc.fingerprints(sets), want) and want[-1] == 0
+    monkeypatch.setattr(nc, "_HASHES", 7)
+    assert np.array_equal(nc.fingerprints(sets), want)
+    assert nc.fingerprints([nc.shingles(texts[0] + b" " + b"x y " * 90)]) == nc.fingerprints([nc.shingles(texts[0] + b" " + b"x y " * 9)])
+
+
+@pytest.mark.parametrize("bits", [4, 9])
+def test_families_link_fingerprints(spark, bits):
+    """A family is what chains of fingerprints within the bound reach, as brute force finds it."""
+    rng = random.Random(bits)
+    marks = [rng.getrandbits(64) for _ in range(40)]
+    marks += [x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 12))) for x in rng.choices(marks, k=160)]
+    marks += marks[:3]
+    near = [(i, j) for i, x in enumerate(marks) for j, y in enumerate(marks[:i]) if (x ^ y).bit_count() <= bits]
+    root = nc.forest(*(np.array(x) for x in zip(*near)), len(marks))
+    rows = [(k, int(np.uint64(x).view(np.int64)), 5) for k, x in enumerate(marks)]
+    got = {r.node: r.star for r in nc.families(nc.stored(spark.createDataFrame(rows, "node long, fp long, n long"), "test"), bits).collect()}
+    assert len(got) == len(marks)
+    assert all((got[i] == got[j]) == (root[i] == root[j]) for i in got for j in got)
+
+
+def test_fingerprints_lead_and_nothing_is_lost(spark, monkeypatch):
+    """SimHash families reach the exact check first; without any shingle meeting they alone are linked."""
+    rng = random.Random(8)
+    base = [[f"w{f}.{k}" for k in range(200)] for f in range(6)]
+    rows = list(enumerate(" ".join(x) for b in base for x in (b, b[:120] + ["z"] + b[120:], edited(rng, b, 0.01))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    calls, found = [], nc.fingerprint_links
+    monkeypatch.setattr(nc, "fingerprint_links", lambda marks, radius: calls.append(radius) or found(marks, radius))
+    assert sorted(str(r.doc_id) for r in nc.keep_one(docs).collect()) == slow_kept(rows)
+    assert calls == [nc.BITS]
+    real = nc.meetings
+    monkeypatch.setattr(nc, "meetings", lambda entries: real(entries.limit(0)))
+    alone = {r.doc_id for r in nc.keep_one(docs).collect()}
+    assert {int(x) for x in slow_kept(rows)} <= alone < {i for i, _ in rows}
+
+
 def test_meetings_of_ranges(spark):
     """One h in half of all rows, whatever the ranges and batches it is dealt in."""
     rng = random.Random(1)
@@ -137,6 +180,25 @@ def test_unsettled_shingles(spark):
     assert sorted((r.node, r.star) for r in nc.regathered(left).collect()) == [(1, 14), (2, 14), (3, 14), (4, 14)]
 
 
+def test_sizes_cut_no_pair_that_can_be_similar(spark):
+    """Of one h, sizes at a factor of 1.25 or less meet; those far apart do not."""
+    sizes = [*range(1, 60), 100, 125, 126, 400, 500, 4000, 5000]
+    groups = {}
+    for r in nc.by_size(spark.createDataFrame([(7, k, n) for k, n in enumerate(sizes)], "h long, node long, n long")).collect():
+        groups.setdefault(r.h, set()).add(r.n)
+    met = {(a, b) for x in groups.values() for a in x for b in x}
+    assert all((a, b) in met for a in sizes for b in sizes if 4 * b <= 5 * a and a <= b)
+    assert not any((a, b) in met for a in sizes for b in sizes if b > 1.6 * a)
+
+
+def test_shingles_of_the_same_nodes_are_one_star(spark):
+    left = [(h, node, 9, 1) for h, x in {1: [1, 2], 2: [2, 1], 3: [1, 2, 3]}.items() for node in x]
+    stars = {}
+    for r in nc._alike(spark.createDataFrame(left, "h long, node long, n long, star long")).collect():
+        stars.setdefault(r.star, []).append(r.node)
+    assert sorted(map(sorted, stars.values())) == [[1, 2], [1, 2, 3]]
+
+
 def test_stage_links_what_differs_in_more_than_four_bits(spark, small_sf):
     docs = cp.documents(spark, small_sf)
     got = sorted(str(r.doc_id) for r in cp.near_duplicates(spark, docs, small_sf).collect())
