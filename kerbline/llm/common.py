@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from kerbline.session import checkpoint_dir
 #: Words are runs of characters other than these six ASCII blanks. ``bytes.split()`` without
 #: arguments cuts at exactly these, so byte-level code and the SQL pattern agree.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Setting by which a query's shuffle files go when it ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +57,24 @@ def discard(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files are deleted when it ends, not when the driver next collects its garbage.
+
+    For steps that store what they make, so that no shuffle is read by a later query. Should one
+    be, Spark computes it anew. What is returned unread from inside runs under the session's own setting.
+    """
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
+
+
 def discard_all(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application, once its results are written."""
     _delete(spark, shared_dir(spark))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbline.llm.common import discard, pieces, stored, text_bytes
+from kerbline.llm.common import discard, pieces, shuffles_go, stored, text_bytes
 from kerbline.llm.components import components
 from kerbline.llm.simhash import _HASHES, SEED, _bit_counts, _hashes, _word_runs, forest
 from kerbline.llm.simhash import links as fingerprint_links
@@ -191,8 +191,11 @@ def moved(met: DataFrame, stars: DataFrame) -> DataFrame:
     """
     placed = met.select("h", "node", "n").join(stars.select("node", "star"), "node")
     prevails = placed.groupBy("h", "star").count().groupBy("h").agg(F.max(F.struct("count", F.negative("star").alias("star"))).alias("x"))
-    votes = placed.drop("star").join(stored(prevails.selectExpr("h", "-x.star AS star"), "prevails"), "h")
-    return _elected(votes.groupBy("node", "star").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")))
+    prevails = stored(prevails.selectExpr("h", "-x.star AS star"), "prevails")
+    votes = placed.drop("star").join(prevails, "h")
+    elected = _elected(votes.groupBy("node", "star").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")))
+    discard(prevails)
+    return elected
 
 
 def set_links(sets: list[np.ndarray], cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +261,8 @@ def star_links(kept: DataFrame, stars: DataFrame, text: str, row: str) -> DataFr
     """Stored links (a, b): a spanning forest, by tile pair, of all similar pairs of nodes of one star.
 
     ``stars`` is a stored table (node, star, n). A star of many nodes or shingles is cut into
-    tiles that are dealt as pairs; only texts of stars with several nodes travel.
+    tiles that are dealt as pairs; only texts of stars with several nodes travel. Where these
+    are few, their list is small enough for Spark to broadcast, so that the other texts are not shuffled to find them.
     """
     sizes = stars.groupBy("star").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("m")).filter("c > 1").selectExpr(
         "star", f"CAST(greatest(ceil(c / {TILE}), ceil(m / {MARKS})) AS INT) AS k")
@@ -266,7 +270,7 @@ def star_links(kept: DataFrame, stars: DataFrame, text: str, row: str) -> DataFr
         "other", F.explode(F.expr("sequence(0, k - 1)")))
     dealt = stored(dealt.select(F.col("node").alias(row), "star", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
                                 F.expr("CAST(own > other AS INT)").alias("side")), "dealt")
-    texts = kept.select(row, F.col(text).alias("text")).join(dealt.hint("merge"), row).select("star", "lo", "hi", "side", F.col(row).alias("node"), "text")
+    texts = kept.select(row, F.col(text).alias("text")).join(dealt, row).select("star", "lo", "hi", "side", F.col(row).alias("node"), "text")
     tiles = texts.repartition("star", "lo", "hi").sortWithinPartitions("star", "lo", "hi", "side", "node")
     return stored(tiles.mapInArrow(_tiles, "a long, b long"), "links")
 
@@ -329,16 +333,8 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near-copies: of each linked class the row with the least id stays.
-
-    Documents are linked whose sets of ``WIDTH``-word shingles have a Jaccard similarity of
-    ``SIMILAR`` or more, at first those of one SimHash family, then what shares a prefix; words are cut and lower-cased as in ``simhash``, and texts without
-    words are equal. Of several rows with the least id one stays; NULL ids come last. All
-    columns are returned as they are.
-    """
-    row = "__kerbline_row"
-    kept = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+def _winners(kept: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
+    """Stored ``row`` of the one document that stays of each class."""
     marks = stored(_prefixes(kept, doc_id, text, row), "prefixes")
     # Null ids order last: a struct compares its fields in turn.
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
@@ -350,7 +346,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     entries = marks.join(sets.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi").select(
         F.explode("prefix").alias("h"), F.col("row").alias("node"), "n", F.size("prefix").cast("long").alias("p"))
-    met = stored(meetings(entries), "met")
+    gathered = meetings(entries)
+    met = stored(gathered, "met")
+    discard(gathered)
     discard(marks)
     stars = star_of(met)
     for _ in range(ROUNDS):
@@ -373,5 +371,20 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         roots = _joined(roots, star_links(kept, _alike(left), text, row))
     classes = sets.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     winners = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return stored(winners, "winners")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near-copies: of each linked class the row with the least id stays.
+
+    Documents are linked whose sets of ``WIDTH``-word shingles have a Jaccard similarity of
+    ``SIMILAR`` or more, at first those of one SimHash family, then what shares a prefix; words are cut and lower-cased as in ``simhash``, and texts without
+    words are equal. Of several rows with the least id one stays; NULL ids come last. All
+    columns are returned as they are.
+    """
+    row = "__kerbline_row"
+    kept = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    with shuffles_go(docs.sparkSession):
+        winners = _winners(kept, doc_id, text, row)
     # Always by a shuffle: most rows stay, so their ids outgrow any broadcast, and the plan is the same at every size.
-    return kept.join(stored(winners, "winners").hint("merge"), row, "left_semi").drop(row)
+    return kept.join(winners.hint("merge"), row, "left_semi").drop(row)

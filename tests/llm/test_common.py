@@ -1,9 +1,11 @@
 """Stored tables, batch cutting and the id remainder."""
 
 import os
+import time
 import zlib
 
 import pyarrow as pa
+import pytest
 
 from kerbline.llm import common
 
@@ -29,6 +31,28 @@ def test_shared_folder_comes_from_the_session(spark, tmp_path, monkeypatch):
     assert not os.path.exists(common.shared_dir(spark).removeprefix("file://"))
 
 
+def shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {name for top in manager.localDirsString() for _, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(common.SHUFFLES_GO, None)
+    with common.shuffles_go(spark):
+        kept = common.stored(spark.range(1000).groupBy("id").count(), "t")
+    assert kept.count() == 1000 and spark.conf.get(common.SHUFFLES_GO, None) == setting
+    for _ in range(100):
+        # The count above is a query outside; the sum of its parts is one file.
+        left = shuffle_files(spark) - before
+        if len({x.split("_")[1] for x in left}) <= 1:
+            break
+        time.sleep(0.1)
+    assert len({x.split("_")[1] for x in left}) <= 1
+    with pytest.raises(ValueError), common.shuffles_go(spark):
+        raise ValueError
+    assert spark.conf.get(common.SHUFFLES_GO, None) == setting
+
+
 def test_pieces_keep_every_row():
     texts = ["", None, "a" * 100, "b" * 300, "", "é" * 10, None]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "text"])
