@@ -14,11 +14,15 @@ matrix product and hands on a spanning forest of the similar ones, so a large fa
 copies never becomes rows of pairs. What meets across stars and is not linked by then is
 gathered anew by classes of sizes, at the shingle that most of it shares, and compared as tiles again; at last
 every shingle still open is a star of its own, so that each pair that meets and can be similar is compared somewhere.
+
+Most documents that meet share a common line and little else. Before texts travel, small parity vectors of the
+sets are compared in the same tiles: they differ in no more places than the sets do, so whom they rule out is not similar.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +65,12 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
+def parity(marks: np.ndarray) -> bytes:
+    """Bits of hash buckets, whether each holds an odd number; as many as the set has hashes, or more: a power of two."""
+    size = 1 << max(6, (len(marks) - 1).bit_length())
+    return np.packbits(np.bincount((marks & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
 def prefix(marks: np.ndarray, often: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The first shingles in the order common to all documents; ``often`` is sorted."""
     if not len(marks):
@@ -92,7 +102,7 @@ def _sample(kept: DataFrame, text: str, row: str) -> tuple[np.ndarray, np.ndarra
 
 
 def _prefixes(kept: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
-    """id, row, digest of the shingle set, its fingerprint, its size and its prefix for every document."""
+    """id, row, digest of the shingle set, its fingerprint, its parities, its size and its prefix for every document."""
     sent = kept.sparkSession.sparkContext.broadcast(_sample(kept, text, row))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +112,12 @@ def _prefixes(kept: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
             first = [prefix(x, often, weight).view(np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
-                 pa.array(fingerprints(sets).view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "digest", "fp", "n", "prefix"])
+                 pa.array(fingerprints(sets).view(np.int64)), pa.array([parity(x) for x in sets], pa.binary()),
+                 pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "digest", "fp", "parity", "n", "prefix"])
 
     fields = [T.StructField("doc_id", kept.schema[doc_id].dataType), T.StructField("row", T.LongType()), T.StructField("digest", T.BinaryType()),
-              T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+              T.StructField("fp", T.LongType()), T.StructField("parity", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
     rows = kept.select(F.col(doc_id).alias("doc_id"), F.col(row).alias("row"), F.col(text).alias("text"))
     return rows.mapInArrow(run, T.StructType(fields))
 
@@ -257,20 +268,79 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from links()
 
 
-def star_links(kept: DataFrame, stars: DataFrame, text: str, row: str) -> DataFrame:
-    """Stored links (a, b): a spanning forest, by tile pair, of all similar pairs of nodes of one star.
+def may_link(bits: list[bytes], n: np.ndarray, root: np.ndarray, cut: int | None = None) -> np.ndarray:
+    """Whether each set may be similar to one of another root, by its parities ``bits`` and size; false only if it is to none.
 
-    ``stars`` is a stored table (node, star, n). A star of many nodes or shingles is cut into
-    tiles that are dealt as pairs; only texts of stars with several nodes travel. Where these
-    are few, their list is small enough for Spark to broadcast, so that the other texts are not shuffled to find them.
+    With ``cut``, pairs of one set before and one at or behind it. A hash in one set of two turns one
+    bit, so sets differ at least where the parities do; longer ones are folded to the length of shorter ones.
+    Those of sizes that can be similar are as long or twice as long.
+    """
+    length = np.array([len(x) for x in bits])
+    found = np.zeros(len(bits), bool)
+    above, below = SIMILAR
+    for size in np.unique(length):
+        own, other = np.flatnonzero(length == size), np.flatnonzero((length == size) | (length == 2 * size))
+        left = np.stack([np.frombuffer(bits[i], np.uint64) for i in own])
+        right = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, size // 8)) for i in other])
+        step = max(1, _CELLS // right.size)
+        for at in range(0, len(own), step):
+            rows = own[at:at + step]
+            apart = np.bitwise_count(left[at:at + step, None] ^ right[None]).sum(axis=2, dtype=np.int64)
+            apart = np.maximum(apart, np.abs(n[rows][:, None] - n[other][None]))
+            close = (below + above) * apart <= (below - above) * (n[rows][:, None] + n[other][None])
+            close &= root[rows][:, None] != root[other][None]
+            if cut is not None:
+                close &= (rows < cut)[:, None] != (other < cut)[None]
+            found[rows[close.any(axis=1)]] = True
+            found[other[close.any(axis=0)]] = True
+    return found
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, star, n) that may be linked in the tile pairs in rows (star, lo, hi, side, node, n, root, parity) sorted by the first five."""
+    rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+    for (star, lo, hi), tile in groupby(rows, key=lambda row: row[:3]):
+        side, node, n, root, bits = [*zip(*tile)][3:]
+        sizes = np.array(n, np.int64)
+        found = np.flatnonzero(may_link(bits, sizes, np.array(root, np.int64), None if lo == hi else side.count(0)))
+        if len(found):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(node, np.int64)[found]), pa.array(np.full(len(found), star, np.int64)), pa.array(sizes[found])], names=["node", "star", "n"])
+
+
+def _dealt(stars: DataFrame) -> DataFrame:
+    """Stored (node, star, lo, hi, side, n): the nodes of stars of several, in the tile pairs of their stars.
+
+    A star of many nodes or shingles is cut into tiles.
     """
     sizes = stars.groupBy("star").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("m")).filter("c > 1").selectExpr(
         "star", f"CAST(greatest(ceil(c / {TILE}), ceil(m / {MARKS})) AS INT) AS k")
     dealt = stars.join(stored(sizes, "sizes"), "star").withColumn("own", F.expr("CAST(pmod(xxhash64(node), k) AS INT)")).withColumn(
         "other", F.explode(F.expr("sequence(0, k - 1)")))
-    dealt = stored(dealt.select(F.col("node").alias(row), "star", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-                                F.expr("CAST(own > other AS INT)").alias("side")), "dealt")
-    texts = kept.select(row, F.col(text).alias("text")).join(dealt, row).select("star", "lo", "hi", "side", F.col(row).alias("node"), "text")
+    return stored(dealt.select("node", "star", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+                               F.expr("CAST(own > other AS INT)").alias("side"), "n"), "dealt")
+
+
+def promising(stars: DataFrame, sets: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """The stored ``stars`` (node, star, n) whose parities allow a link with a node of another root in their star.
+
+    ``sets`` is a stored table (node, parity), ``roots`` (node, root) has what is linked by now. All pairs of
+    the others in their stars are linked or not similar, so they count as compared.
+    """
+    rows = _dealt(stars).join(sets.select("node", "parity"), "node")
+    rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tiles = rows.select("star", "lo", "hi", "side", "node", "n", "root", "parity").repartition("star", "lo", "hi").sortWithinPartitions(
+        "star", "lo", "hi", "side", "node")
+    return stored(tiles.mapInArrow(_hopeful, "node long, star long, n long").distinct(), "promising")
+
+
+def star_links(kept: DataFrame, stars: DataFrame, text: str, row: str) -> DataFrame:
+    """Stored links (a, b): a spanning forest, by tile pair, of all similar pairs of nodes of one star.
+
+    ``stars`` is a stored table (node, star, n); only texts of stars with several nodes travel. Where these
+    are few, their list is small enough for Spark to broadcast, so that the other texts are not shuffled to find them.
+    """
+    texts = kept.select(F.col(row).alias("node"), F.col(text).alias("text")).join(_dealt(stars), "node").select("star", "lo", "hi", "side", "node", "text")
     tiles = texts.repartition("star", "lo", "hi").sortWithinPartitions("star", "lo", "hi", "side", "node")
     return stored(tiles.mapInArrow(_tiles, "a long, b long"), "links")
 
@@ -338,11 +408,15 @@ def _winners(kept: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     marks = stored(_prefixes(kept, doc_id, text, row), "prefixes")
     # Null ids order last: a struct compares its fields in turn.
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    sets = stored(marks.groupBy("digest").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n")).select(
-        "first", F.col("first.row").alias("node"), "fp", "n"), "sets")
+    sets = stored(marks.groupBy("digest").agg(F.min(order).alias("first"), *[F.first(x).alias(x) for x in ("fp", "parity", "n")]).select(
+        "first", F.col("first.row").alias("node"), "fp", "parity", "n"), "sets")
+
+    def compared(stars: DataFrame, roots: DataFrame | None) -> DataFrame:
+        return _joined(roots, star_links(kept, promising(stars, sets, roots), text, row))
+
     # Equal sets are one node from here on.
     kin = families(sets)
-    roots = _joined(None, star_links(kept, kin, text, row))
+    roots = compared(kin, None)
 
     entries = marks.join(sets.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi").select(
         F.explode("prefix").alias("h"), F.col("row").alias("node"), "n", F.size("prefix").cast("long").alias("p"))
@@ -354,7 +428,7 @@ def _winners(kept: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     for _ in range(ROUNDS):
         stars = moved(met, stars)
     nodes = stars.select("node", "star").join(kin.select("node", F.col("star").alias("family")), "node")
-    roots = _joined(roots, star_links(kept, _undecided(stars, _rooted(nodes, roots).drop("star")), text, row))
+    roots = compared(_undecided(stars, _rooted(nodes, roots).drop("star")), roots)
 
     layouts = ["family", "star"]
     left = unsettled(by_size(met), _rooted(nodes, roots), layouts)
@@ -363,12 +437,12 @@ def _winners(kept: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
         if left.isEmpty():
             break
         stars = regathered(left)
-        roots = _joined(roots, star_links(kept, stars, text, row))
+        roots = compared(stars, roots)
         nodes = left.select("node", *layouts).distinct().join(stars.select("node", F.col("star").alias(f"star_{k}")), "node")
         layouts = [*layouts, f"star_{k}"]
         left = unsettled(left.select("h", "node", "n"), _rooted(nodes, roots), layouts)
     if not left.isEmpty():
-        roots = _joined(roots, star_links(kept, _alike(left), text, row))
+        roots = compared(_alike(left), roots)
     classes = sets.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     winners = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return stored(winners, "winners")

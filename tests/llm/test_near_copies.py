@@ -204,3 +204,56 @@ def test_stage_links_what_differs_in_more_than_four_bits(spark, small_sf):
     got = sorted(str(r.doc_id) for r in cp.near_duplicates(spark, docs, small_sf).collect())
     assert got == slow_kept([(r.doc_id, r.text) for r in docs.collect()])
     assert "1" in got and "177" not in got  # 0.8 alike, more than four bits apart
+
+
+def overlap_sets(rng, n, others):
+    """Hash sets of about ``n`` at Jaccard similarities from none to all with the first, and unrelated ones."""
+    first = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+    sets = [np.unique(first)]
+    for share in [0, 0.02, 0.08, 0.1, 0.11, 0.12, 0.2, 0.5, *[1] * others]:
+        fresh = np.array([rng.getrandbits(64) for _ in range(round(share * n))], np.uint64)
+        sets.append(np.unique(np.concatenate([first[len(fresh):], fresh])))
+    return [*sets, np.unique(first[:n * 4 // 5]), np.unique(first[:n * 4 // 5 - 1])]
+
+
+@pytest.mark.parametrize("n", [1, 5, 60, 64, 65, 120, 600, 3000])
+def test_parities_rule_out_no_similar_pair(n):
+    rng = random.Random(n)
+    sets = [*overlap_sets(rng, n, 5), np.zeros(0, np.uint64)]
+    fresh = sets[9:14]
+    sets = [*{x.tobytes(): x for x in sets}.values()]
+    size = np.array([len(x) for x in sets])
+    bits = [nc.parity(x) for x in sets]
+    similar = np.array([[5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)) for y in sets] for x in sets])
+    apart = ~np.eye(len(sets), dtype=bool)
+    nodes = np.arange(len(sets))
+    got = nc.may_link(bits, size, nodes)
+    assert got[(similar & apart).any(axis=1)].all()
+    if n >= 60:  # unrelated sets are ruled out
+        assert not any(got[k] for k, x in enumerate(sets) if any(np.array_equal(x, y) for y in fresh))
+    cut = len(sets) // 3
+    across = (nodes[:, None] < cut) != (nodes[None] < cut)
+    got = nc.may_link(bits, size, nodes, cut)
+    assert got[(similar & across).any(axis=1)].all()
+    assert not nc.may_link(bits, size, np.zeros(len(sets), int)).any()  # linked by now
+
+
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_texts_that_share_one_line_only_do_not_travel(spark, monkeypatch, tile):
+    sent, links = [], nc.star_links
+
+    def noted(kept, stars, *names):
+        sent.append(stars.count())
+        return links(kept, stars, *names)
+
+    monkeypatch.setattr(nc, "star_links", noted)
+    monkeypatch.setattr(nc, "TILE", tile)
+    monkeypatch.setattr(nc, "SAMPLE", 1)
+    rng = random.Random(tile)
+    line = " ".join(f"licence{k}" for k in range(12))
+    texts = [line + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(150)) for _ in range(60)]
+    texts += [texts[0] + " more", texts[1] + " less"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(str(r.doc_id) for r in nc.keep_one(docs).collect()) == slow_kept(rows) == sorted(map(str, range(60)))
+    assert sum(sent) <= 12
